@@ -4,16 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import langid
+from loomstead.llm import bpe, importance, langid, packing, risk_rules, secrets
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample as large a share of the documents as the labels call good."""
+    docs, share = importance.mark_target(_documents(spark, sf_dir).select("doc_id", "text"), _labels(spark, sf_dir))
+    return importance.resample(docs.select("doc_id", "text"), importance.fit(docs, "target"), share)
+
+
+def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = risk_rules.judge(_documents(spark, sf_dir), _labels(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(secrets.labelled_tokens(docs)))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("secrets").alias("spans"), count("random"))
+
+
+def op6_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    ids = bpe.encode(docs, WORD_BPE).select("doc_id", "ids")
+    return bpe.decode(ids, WORD_BPE).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(_documents(spark, sf_dir).select("doc_id", "text"), BYTE_BPE, end_id=2, capacity=1024)
+    return packing.pack(cut, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.fit(docs.where(langid.fold() != 0))
@@ -22,9 +71,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op8_language_id": op8_language_id,
-    }
+    own = [op1_importance_resampling, op2_risk_controlled_rules, op4_secret_scan, op6_speculative_bpe, op7_best_fit_packing, op8_language_id]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
