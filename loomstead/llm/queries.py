@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import bpe, importance, langid, packing, risk_rules, secrets
+from loomstead.llm import bpe, importance, langid, ngramjoin, packing, risk_rules, secrets
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,8 +70,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.connect(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_importance_resampling, op2_risk_controlled_rules, op4_secret_scan, op6_speculative_bpe, op7_best_fit_packing, op8_language_id]
+    own = [op1_importance_resampling, op2_risk_controlled_rules, op4_secret_scan, op6_speculative_bpe, op7_best_fit_packing, op8_language_id, op10_ngram_jaccard_join]
     return {f.__name__: f for f in own}
 
 
