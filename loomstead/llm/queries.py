@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import bpe, importance, langid, ngramjoin, packing, risk_rules, secrets
+from loomstead.llm import bpe, importance, langid, ngramjoin, packing, risk_rules, secrets, suffix
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +47,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("secrets").alias("spans"), count("random"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest_removed(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     ids = bpe.encode(docs, WORD_BPE).select("doc_id", "ids")
@@ -75,7 +79,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_importance_resampling, op2_risk_controlled_rules, op4_secret_scan, op6_speculative_bpe, op7_best_fit_packing, op8_language_id, op10_ngram_jaccard_join]
+    own = [op1_importance_resampling, op2_risk_controlled_rules, op4_secret_scan, op5_suffix_dedup, op6_speculative_bpe, op7_best_fit_packing, op8_language_id, op10_ngram_jaccard_join]
     return {f.__name__: f for f in own}
 
 
