@@ -199,15 +199,19 @@ class SpeculativeBPE:
 
 
 class TextEncoder:
-    """Encodes texts as a tokenizer file says, special strings in a text included."""
+    """Encodes texts as a tokenizer file says.
 
-    def __init__(self, path: str) -> None:
+    Special strings in a text become their ids, or with ``plain`` are text like any other.
+    """
+
+    def __init__(self, path: str, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.plain = plain
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("|".join(map(re.escape, self.special)))
         self.speculative = spec["model"]["end_of_word_suffix"] == WORD_END
@@ -233,7 +237,7 @@ class TextEncoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's offset among them."""
-        if not any("<|" in t for t in texts):
+        if self.plain or not any("<|" in t for t in texts):
             return self.words(self._normal(texts))
         parts: list[tuple[int, str, int | None]] = []
         for i, t in enumerate(texts):

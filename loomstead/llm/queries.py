@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import bpe, importance, langid, ngramjoin, packing, risk_rules, secrets, suffix
+from loomstead.llm import bpe, importance, langid, lattice, ngramjoin, packing, risk_rules, secrets, suffix, tokenscan
+from loomstead.llm.storage import durable, new_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +34,10 @@ def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     found = secrets.scan(docs, secrets.fit(secrets.labelled_tokens(docs)))
@@ -74,12 +79,23 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the documents as flat token files, then count each one's tokens by scanning them."""
+    folder = new_path(spark, "tokens")
+    manifest = tokenscan.write_token_files(_documents(spark, sf_dir).select("doc_id", "text"), folder, BYTE_BPE, end_id=50256)
+    counts = tokenscan.count_tokens(spark, manifest.select("file"), end_id=50256)
+    result = durable(manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "terminated"), "token-counts")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return result
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.connect(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_importance_resampling, op2_risk_controlled_rules, op4_secret_scan, op5_suffix_dedup, op6_speculative_bpe, op7_best_fit_packing, op8_language_id, op10_ngram_jaccard_join]
+    own = [op1_importance_resampling, op2_risk_controlled_rules, op3_lattice_dedup, op4_secret_scan, op5_suffix_dedup, op6_speculative_bpe, op7_best_fit_packing, op8_language_id, op9_token_counts, op10_ngram_jaccard_join]
     return {f.__name__: f for f in own}
 
 
