@@ -2,24 +2,60 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstead.llm import langid
+from loomstead.llm import langid, ngramjoin, packing, secrets, suffix
 from loomstead.llm.storage import durable
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 50256
+CAPACITY = 1024
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be determined."""
+    """Drop documents whose language can't be told: null or letterless texts, and posteriors under one half.
+
+    The model learns from the documents' own texts and non-null languages.
+    """
     return langid.keep_identified(docs, langid.fit(docs))
 
 
-STAGES = [("language_id", language_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each group that word 5-gram similarity of 0.75 or more connects."""
+    return ngramjoin.keep_one(docs)
+
+
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut every 400-byte string that occurs twice out of the texts; no document goes."""
+    return suffix.remove_repeats(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets in the texts; no document goes. The models are trained on these documents."""
+    model = secrets.fit(secrets.labelled_tokens(docs))
+    return secrets.redact(docs, model)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place every document's pieces in sequences of 1024 tokens."""
+    return packing.pack(packing.pieces(docs, BYTE_BPE, END_ID, CAPACITY), CAPACITY)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("suffix_dedup", repeat_stage),
+    ("secret_scan", secret_stage),
+    ("best_fit_packing", packing_stage),
+]
 
-#: Naive Bayes, suffix ranks and packing have no SQL form; tests hold each stage against brute force.
+#: Naive Bayes, suffix ranks, Markov models and packing have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to the documents of ``sf_dir``; each reads only what the one before kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir), name)
