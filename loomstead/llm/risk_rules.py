@@ -71,7 +71,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     fields = [T.StructField(m, T.LongType()) for m in METRICS]
 
     def make():
-        return lambda part: [pa.array(measure_slice(part.column(text))[m].astype(np.int64)) for m in METRICS]
+        def step(part: pa.RecordBatch) -> list[pa.Array]:
+            found = measure_slice(part.column(text))
+            return [pa.array(found[m].astype(np.int64)) for m in METRICS]
+
+        return step
 
     return tx.append_columns(docs, fields, make, text)
 
