@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -18,8 +19,12 @@ from loomstead.llm.pretoken import Encoder
 #: No merge makes this pair, or nothing takes this token up.
 NEVER = 1 << 30
 WORD_END = "</w>"
-#: Code points below this stay as they are under canonical composition.
-COMPOSED_BELOW = 0x250
+#: Longer words are merged one by one, with a queue.
+SHORT_WORD = 64
+#: Rows that are decoded at a time.
+DECODE_ROWS = 64
+#: From U+0250 on, characters may change under canonical composition; none before do.
+_COMPOSABLE = re.compile("[\u0250-\U0010ffff]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,8 +63,9 @@ class SpeculativeBPE:
         order = np.argsort(pairs[:, 0] * n + pairs[:, 1])
         self.pair_key, self.pair_rank = (pairs[:, 0] * n + pairs[:, 1])[order], order
         self.merges = {(a, b): r for r, (a, b) in enumerate(pairs.tolist())}
-        self.made = [vocab[a + b] for a, b in model["merges"]]
+        self.made = np.array([vocab[a + b] for a, b in model["merges"]], np.int64)
         self.base = {(letters[t.removesuffix(WORD_END)], t.endswith(WORD_END)): i for t, i in vocab.items() if len(t.removesuffix(WORD_END)) == 1}
+        self.inner, self.final = (np.array([self.base[b, end] for b in range(256)], np.int64) for end in (False, True))
 
         spelled = [(bytes(letters[c] for c in t.removesuffix(WORD_END)), t.endswith(WORD_END), i) for t, i in vocab.items()]
         size = np.array([len(b) for b, _, _ in spelled], np.int64)
@@ -166,7 +172,7 @@ class SpeculativeBPE:
             j = after[i] if ids[i] == a else len(ids)
             if j >= len(ids) or ids[j] != b:
                 continue
-            ids[i], ids[j] = self.made[rank], -1
+            ids[i], ids[j] = int(self.made[rank]), -1
             after[i] = k = after[j]
             if k < len(ids):
                 before[k] = i
@@ -176,6 +182,45 @@ class SpeculativeBPE:
                 heapq.heappush(queue, (r, h, ids[h], ids[i]))
         return [i for i in ids if i >= 0]
 
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words side by side, one merge of each a round: ids, and how many each has."""
+        size = np.array([len(w) for w in words], np.int64)
+        owner = np.repeat(np.arange(len(words)), size)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ids = self.inner[data]
+        last = np.cumsum(size) - 1
+        ids[last] = self.final[data[last]]
+        rank = np.full(len(ids), NEVER)
+        rank[:-1] = np.where(owner[1:] == owner[:-1], self._merge_rank(ids[:-1], ids[1:]), NEVER)
+        done_owner, done_ids = [], []
+        while len(ids):
+            begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            count = np.diff(np.append(begin, len(ids)))
+            least = np.minimum.reduceat(rank, begin)
+            over = least == NEVER
+            if over.any():
+                gone = np.repeat(over, count)
+                done_owner.append(owner[gone])
+                done_ids.append(ids[gone])
+                ids, owner, rank = ids[~gone], owner[~gone], rank[~gone]
+                least, count = least[~over], count[~over]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, count))
+            at = at[np.append(True, owner[at[1:]] != owner[at[:-1]])]
+            ids[at] = self.made[least]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            at = at - np.arange(len(at))
+            for i in (at, at[at > 0] - 1):
+                rank[i] = NEVER
+                i = i[i + 1 < len(ids)]
+                i = i[owner[i] == owner[i + 1]]
+                rank[i] = self._merge_rank(ids[i], ids[i + 1])
+        owners, out = np.concatenate(done_owner), np.concatenate(done_ids)
+        return out[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words))
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct non-empty words end to end, and how many each has."""
         spelled = [w.encode() for w in words]
@@ -188,13 +233,18 @@ class SpeculativeBPE:
         same = np.flatnonzero(owner[1:] == owner[:-1])
         fails[owner[same[~self.compatible(ids[same], ids[same + 1])]]] = True
         keep = ~fails[owner]
-        redo = [self.merge(spelled[i]) for i in np.flatnonzero(fails).tolist()]
         count = np.bincount(owner, minlength=len(words))
-        count[fails] = [len(x) for x in redo]
+        short, long = np.flatnonzero(fails & (size <= SHORT_WORD)), np.flatnonzero(fails & (size > SHORT_WORD))
+        merged = [np.array(self.merge(spelled[i]), np.int64) for i in long.tolist()]
+        count[long] = [len(x) for x in merged]
+        if len(short):
+            found, count[short] = self.merge_many([spelled[i] for i in short.tolist()])
         out = np.zeros(int(count.sum()), np.int64)
-        mine = np.repeat(fails, count)
-        out[~mine] = ids[keep]
-        out[mine] = [i for x in redo for i in x]
+        out[np.repeat(~fails, count)] = ids[keep]
+        if len(short):
+            out[np.repeat(fails & (size <= SHORT_WORD), count)] = found
+        if len(long):
+            out[np.repeat(fails & (size > SHORT_WORD), count)] = np.concatenate(merged)
         return out, count
 
 
@@ -232,8 +282,7 @@ class TextEncoder:
     def _normal(self, texts: list[str]) -> list[str]:
         if not self.speculative:
             return texts
-        simple = [t.isascii() or max(t) < chr(COMPOSED_BELOW) for t in texts]
-        return [t.lower() if ok else self.tokenizer.normalizer.normalize_str(t) for t, ok in zip(texts, simple, strict=True)]
+        return [self.tokenizer.normalizer.normalize_str(t) if not t.isascii() and _COMPOSABLE.search(t) else t.lower() for t in texts]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's offset among them."""
@@ -287,9 +336,14 @@ def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "
         tokenizer = Tokenizer.from_file(tokenizer_path)
         plain = tokenizer.decoder is None
         strings = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
-        for part in batches:
-            lists = [x or [] for x in part.column(ids).to_pylist()]
-            texts = [" ".join(map(strings.__getitem__, x)) for x in lists] if plain else tokenizer.decode_batch(lists, skip_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, text])
+        for batch in batches:
+            for begin in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(begin, DECODE_ROWS)
+                column = part.column(ids)
+                size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                ends, flat = np.cumsum(size).tolist(), column.flatten().to_numpy()
+                lists = (flat[e - n : e].tolist() for e, n in zip(ends, size.tolist(), strict=True))
+                texts = [" ".join(map(strings.__getitem__, x)) for x in lists] if plain else [tokenizer.decode(x, skip_special_tokens=False) for x in lists]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, text])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))

@@ -102,7 +102,7 @@ class Encoder:
     at most ``limit`` pre-tokens and starts anew beyond that, so memory stays bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], spaced: bool, limit: int = 1_500_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], spaced: bool, limit: int = 800_000) -> None:
         self.encode, self.spaced, self.limit = encode, spaced, limit
         self._clear()
 
