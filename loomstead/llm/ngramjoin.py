@@ -16,8 +16,8 @@ from loomstead.llm.storage import discard, durable
 
 #: Token classes whose documents are counted; the counts are all that is broadcast of them.
 CLASS_BITS = 16
-#: Bits of the parity sketch that bounds an intersection from above.
-SKETCH_BITS = 2048
+#: Least bits of the parity sketch that bounds an intersection from above.
+LEAST_SKETCH = 512
 #: Bits of the bitmap of sets that any candidate pair names.
 FILTER_BITS = 24
 #: Members of a group that one task compares at a time.
@@ -122,20 +122,50 @@ def index_keys(sets: Sets, frequent: np.ndarray, percent: int) -> tuple[np.ndarr
     return owners[order], keys[order].view(np.int64)
 
 
-def parity_sketch(sets: Sets) -> np.ndarray:
-    """One row of SKETCH_BITS bits a set: the parity of the tokens that fall on each."""
-    owner = np.repeat(np.arange(len(sets.size)), sets.size)
-    bit = (tx.mix(sets.token + np.uint64(77)) >> np.uint64(20)).astype(np.int64) % SKETCH_BITS
-    counts = np.bincount(owner * SKETCH_BITS + bit, minlength=len(sets.size) * SKETCH_BITS) & 1
-    return np.packbits(counts.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1)
+def sketch_bits(size: np.ndarray) -> np.ndarray:
+    """Bits of a sketch: a power of two, four to eight for each token."""
+    return np.maximum(LEAST_SKETCH, 1 << np.ceil(np.log2(4 * np.maximum(size, 1))).astype(np.int64))
+
+
+def parity_sketches(sets: Sets, chosen: np.ndarray) -> list[bytes]:
+    """For each chosen set, the parity of the tokens that fall on each bit."""
+    bits = sketch_bits(sets.size[chosen])
+    spots = (tx.mix(sets.token + np.uint64(77)) >> np.uint64(20)).astype(np.int64)
+    return [np.packbits((np.bincount(spots[b : b + n] % k, minlength=k) & 1).astype(np.uint8)).tobytes() for b, n, k in zip(sets.begin[chosen], sets.size[chosen], bits.tolist(), strict=True)]
+
+
+def fold(sketches: np.ndarray) -> np.ndarray:
+    """Sketches (rows of bytes) of half the bits."""
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
 
 
 def most_common(size_a, size_b, sketch_a: np.ndarray, sketch_b: np.ndarray):
     """Upper bound of the intersection: each differing bit stands for a token of one set alone."""
+    while sketch_a.shape[-1] > sketch_b.shape[-1]:
+        sketch_a = fold(sketch_a)
+    while sketch_b.shape[-1] > sketch_a.shape[-1]:
+        sketch_b = fold(sketch_b)
     differ = np.bitwise_count(sketch_a ^ sketch_b).sum(-1, dtype=np.int64)
     return (size_a + size_b - differ) // 2
 
 
+class SketchRows:
+    """Sketches of several lengths, by row."""
+
+    def __init__(self, rows: list[bytes]) -> None:
+        self.length = np.array([len(r) for r in rows], np.int64)
+        self.place = np.zeros(len(rows), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for n in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == n)
+            self.place[at] = np.arange(len(at))
+            self.of[n] = np.frombuffer(b"".join(rows[i] for i in at), np.uint8).reshape(len(at), n)
+
+    def take(self, rows: np.ndarray, length: int) -> np.ndarray:
+        return self.of[length][self.place[rows]]
+
+
 def _longs(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(begin, begin[-1] + size[-1] if len(begin) else 0).astype(np.int32)), pa.array(values))
 
@@ -269,9 +299,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, spec: JoinSpec, text: str) -> D
             keep = np.flatnonzero(mask[sets.sid % bits] & (sets.size > 0))
             if not len(keep):
                 continue
-            sketch = parity_sketch(sets)
             lists = [sets.token[b : b + n].view(np.int64) for b, n in zip(sets.begin[keep], sets.size[keep], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(sets.sid[keep]), pa.array(sets.size[keep].astype(np.int32)), pa.array([sketch[k].tobytes() for k in keep], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["sid", "size", "sketch", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(sets.sid[keep]), pa.array(sets.size[keep].astype(np.int32)), pa.array(parity_sketches(sets, keep), pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["sid", "size", "sketch", "tokens"])
 
     found = docs.select(text).mapInArrow(run, "sid long, size int, sketch binary, tokens array<long>")
     return found.groupBy("sid").agg(F.first(F.struct("size", "sketch", "tokens")).alias("s")).select("sid", "s.*")
@@ -287,9 +316,12 @@ def _bounded(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            row = lambda name: np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(n, -1)
-            size = [batch.column(f"size_{x}").to_numpy(zero_copy_only=False).astype(np.int64) for x in "ab"]
-            most = most_common(*size, row("sketch_a"), row("sketch_b"))
+            size_a, size_b = size = [batch.column(f"size_{x}").to_numpy(zero_copy_only=False).astype(np.int64) for x in "ab"]
+            left, right = (SketchRows(batch.column(f"sketch_{x}").to_pylist()) for x in "ab")
+            most = np.zeros(n, np.int64)
+            for p, q in np.unique(np.stack([left.length, right.length]), axis=1).T.tolist():
+                at = np.flatnonzero((left.length == p) & (right.length == q))
+                most[at] = most_common(size_a[at], size_b[at], left.take(at, p), right.take(at, q))
             ok = pa.array(spec.enough(most, *size))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(most / np.maximum(size[0] + size[1], 1))], ["a", "b", "close"]).filter(ok)
 
@@ -317,7 +349,7 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec)
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("gid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sid", "size", "comp", "sketch")
 
-    def compare(group: list[np.ndarray], sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(group: list[np.ndarray], sketches: SketchRows) -> tuple[np.ndarray, np.ndarray]:
         sid, size, comp, mine = group
         left, right = [], []
         for k in range(len(sid)):
@@ -325,10 +357,12 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec)
             ok = np.flatnonzero((comp[rest] != comp[k]) & spec.near(size[rest], size[k])) + k + 1
             if mine.min() != mine.max():
                 ok = ok[mine[ok] != mine[k]]
-            if len(ok):
-                ok = ok[spec.enough(most_common(size[ok], size[k], sketch[ok], sketch[k]), size[ok], size[k])]
-                left.append(np.full(len(ok), sid[k]))
-                right.append(sid[ok])
+            own = sketches.take(k, int(sketches.length[k])) if len(ok) else None
+            for n in np.unique(sketches.length[ok]).tolist():
+                at = ok[sketches.length[ok] == n]
+                at = at[spec.enough(most_common(size[at], size[k], sketches.take(at, n), own), size[at], size[k])]
+                left.append(np.full(len(at), sid[k]))
+                right.append(sid[at])
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *left]), np.concatenate([none, *right])
 
@@ -337,10 +371,10 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec)
 
         def emit(table: pa.Table) -> pa.RecordBatch:
             column = {c: table.column(c).to_numpy() for c in ("gid", "i", "j", "sid", "size", "comp", "mine")}
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            sketch = table.column("sketch").to_pylist()
             key = np.stack([column["gid"], column["i"], column["j"]])
             first = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
-            pairs = [compare([column[c][s:e].astype(np.int64) for c in ("sid", "size", "comp", "mine")], sketch[s:e]) for s, e in zip(first, np.append(first[1:], table.num_rows), strict=True)]
+            pairs = [compare([column[c][s:e].astype(np.int64) for c in ("sid", "size", "comp", "mine")], SketchRows(sketch[s:e])) for s, e in zip(first, np.append(first[1:], table.num_rows), strict=True)]
             a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
