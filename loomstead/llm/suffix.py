@@ -334,10 +334,10 @@ def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str =
     rows, spans, table = repeated_spans(docs, spec, text)
     copied = rows.where("copies is not null").select("name", F.lit("").alias("__cut")).distinct()
     cut = _digest_kept(docs.sparkSession.table(table), spans)
-    cuts = durable(_as_text(cut.join(copied, "name", "left_anti")).unionByName(copied), "cuts")
+    cuts = durable(_as_text(cut.join(copied, "name", "left_anti")).unionByName(copied).withColumnRenamed("name", "__cut_name"), "cuts")
     docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     named = tx.append_columns(docs, [T.StructField("__name", T.LongType())], lambda: name_of, text)
-    joined = named.join(cuts, named["__name"] == cuts["name"], "left")
+    joined = named.join(cuts, named["__name"] == cuts["__cut_name"], "left")
     new = F.when(F.col(text).isNull(), F.lit(None)).otherwise(F.coalesce("__cut", text))
     return joined.withColumn(text, new).select(*[f"`{c}`" for c in columns])
 
