@@ -171,21 +171,22 @@ def _longs(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def _survey(docs: DataFrame, spec: JoinSpec, text: str) -> DataFrame:
-    """One row per document (sid, size) beside ``doc_id``, and rows that count documents by token class."""
+    """One row per document (doc_id, sid, size, hash of the text), and rows that count documents by token class."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CLASS_BITS, np.int64)
-        names = ["doc_id", "sid", "size", "token_class", "n"]
+        names = ["doc_id", "sid", "size", "hash", "token_class", "n"]
         for part in tx.slices(batches, text):
             sets = shingle_sets(part.column(text), spec.width)
             total += np.bincount(token_class(sets.token), minlength=len(total))
             none = pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.sid), pa.array(sets.size.astype(np.int64)), *none], names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.sid), pa.array(sets.size.astype(np.int64)), part.column("hash"), *none], names)
         used = np.flatnonzero(total)
-        none = [pa.nulls(len(used), pa.int64())] * 3
+        none = [pa.nulls(len(used), pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([*none, pa.array(used.astype(np.int32)), pa.array(total[used])], names)
 
-    return docs.mapInArrow(run, "doc_id long, sid long, size long, token_class int, n long")
+    rows = docs.select("doc_id", text, F.xxhash64(text).alias("hash"))
+    return rows.mapInArrow(run, "doc_id long, sid long, size long, hash long, token_class int, n long")
 
 
 def _frequent_classes(survey: DataFrame) -> np.ndarray:
@@ -270,13 +271,15 @@ def _groups(entries: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, spec: JoinSpec, text: str) -> DataFrame:
-    """Tokens and sketch of each set that ``wanted`` (column sid) names, made anew from the texts.
+def _sets_of(docs: DataFrame, survey: DataFrame, wanted: DataFrame, spec: JoinSpec, text: str, tokens: bool) -> DataFrame:
+    """Sketch, or with ``tokens`` the whole set, of every ``wanted`` name (column sid), made anew from one text of each.
 
-    A bitmap of fixed size lets most other texts go at once; the join on the name is exact.
+    The survey tells which text, by its hash. A Bloom filter of fixed size over those hashes
+    spares the other texts; what it lets through besides is harmless.
     """
     bits = 1 << FILTER_BITS
-    rows = wanted.select(F.pmod("sid", F.lit(bits)).cast("int").alias("b")).distinct()
+    one = survey.where("token_class is null").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("hash").alias("hash"))
+    rows = one.select(F.pmod("hash", F.lit(bits)).cast("int").alias("b")).distinct()
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.zeros(bits, np.uint8)
@@ -294,16 +297,21 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, spec: JoinSpec, text: str) -> D
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.unpackbits(shared.value).astype(bool)
-        for part in tx.slices(batches, text):
-            sets = shingle_sets(part.column(text), spec.width)
-            keep = np.flatnonzero(mask[sets.sid % bits] & (sets.size > 0))
-            if not len(keep):
-                continue
-            lists = [sets.token[b : b + n].view(np.int64) for b, n in zip(sets.begin[keep], sets.size[keep], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(sets.sid[keep]), pa.array(sets.size[keep].astype(np.int32)), pa.array(parity_sketches(sets, keep), pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["sid", "size", "sketch", "tokens"])
-
-    found = docs.select(text).mapInArrow(run, "sid long, size int, sketch binary, tokens array<long>")
-    return found.groupBy("sid").agg(F.first(F.struct("size", "sketch", "tokens")).alias("s")).select("sid", "s.*")
+        for batch in batches:
+            hit = mask[batch.column("hash").to_numpy(zero_copy_only=False) % bits]
+            for part in tx.slices([batch.filter(pa.array(hit))], text):
+                sets = shingle_sets(part.column(text), spec.width)
+                keep = np.flatnonzero(sets.size > 0)
+                if not len(keep):
+                    continue
+                if tokens:
+                    body = pa.array([sets.token[b : b + n].view(np.int64) for b, n in zip(sets.begin[keep], sets.size[keep], strict=True)], pa.list_(pa.int64()))
+                else:
+                    body = pa.array(parity_sketches(sets, keep), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(sets.sid[keep]), pa.array(sets.size[keep].astype(np.int32)), body], ["sid", "size", "body"])
+
+    found = docs.select(text, F.xxhash64(text).alias("hash")).mapInArrow(run, f"sid long, size int, body {'array<long>' if tokens else 'binary'}")
+    return found.groupBy("sid").agg(F.first(F.struct("size", "body")).alias("s")).select("sid", "s.size", F.col("s.body").alias("tokens" if tokens else "sketch"))
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -337,6 +345,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").where(100 * common >= spec.percent * (a + b - common)).select("a", "b")
 
 
+def _similar(docs: DataFrame, survey: DataFrame, pairs: DataFrame, spec: JoinSpec, text: str) -> DataFrame:
+    """The similar ones of the pairs (a, b) that sketches allow; only their sets are made whole."""
+    pairs = durable(pairs.select("a", "b"), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    links = durable(_verified(pairs, _sets_of(docs, survey, wanted, spec, text, True), spec), "links")
+    discard(pairs)
+    return links
+
+
 def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec) -> DataFrame:
     """Pairs of a group that are in different components and that their sketches allow.
 
@@ -409,17 +426,17 @@ def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text
     compared. Sketches rule most of them out by an exact bound, whole sets decide the rest.
     """
     spark = docs.sparkSession
-    survey = durable(_survey(docs.select("doc_id", text), spec, text), "survey")
+    survey = durable(_survey(docs, spec, text), "survey")
     frequent = spark.sparkContext.broadcast(_frequent_classes(survey))
     groups = durable(_groups(_entries(docs, spec, frequent, text)), "groups")
-    sets = durable(_sets_of(docs, groups.select("sid").distinct(), spec, text), "sets")
+    sets = durable(_sets_of(docs, survey, groups.select("sid").distinct(), spec, text, False), "sketches")
 
     near = (100 * F.least("size", "hub_size")) >= (spec.percent * F.greatest("size", "hub_size"))
     stars = groups.where((F.col("sid") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
     best = _bounded(stars, sets, spec).groupBy("b").agg(F.max_by("a", "close").alias("a"))
-    links = durable(_verified(best, sets, spec), "links")
+    links = _similar(docs, survey, best, spec, text)
     joined = components(links)
-    more = durable(_verified(_apart(groups, sets, joined, spec), sets, spec), "links")
+    more = _similar(docs, survey, _apart(groups, sets, joined, spec), spec, text)
     final = components(links.unionByName(more))
     discard(groups)
     discard(sets)
