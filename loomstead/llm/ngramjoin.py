@@ -354,10 +354,12 @@ def _similar(docs: DataFrame, survey: DataFrame, pairs: DataFrame, spec: JoinSpe
     return links
 
 
-def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec) -> DataFrame:
+def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec, forest: bool) -> DataFrame:
     """Pairs of a group that are in different components and that their sketches allow.
 
-    Groups of one component are done. A larger group is compared block by block.
+    Groups of one component are done. A larger group is compared block by block. With
+    ``forest``, a pair that earlier ones of its block connect is left out, so there are fewer
+    pairs than members; once those that hold are joined, a call without it finds the rest.
     """
     tagged = groups.select("gid", "sid", "size").join(comps, groups["sid"] == comps["node"], "left").select("gid", "sid", "size", F.coalesce("component", "sid").alias("comp"))
     mixed = tagged.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high").select("gid", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
@@ -368,18 +370,29 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec)
 
     def compare(group: list[np.ndarray], sketches: SketchRows) -> tuple[np.ndarray, np.ndarray]:
         sid, size, comp, mine = group
+        comp = comp.copy()
         left, right = [], []
         for k in range(len(sid)):
             rest = slice(k + 1, None)
             ok = np.flatnonzero((comp[rest] != comp[k]) & spec.near(size[rest], size[k])) + k + 1
             if mine.min() != mine.max():
                 ok = ok[mine[ok] != mine[k]]
-            own = sketches.take(k, int(sketches.length[k])) if len(ok) else None
+            if not len(ok):
+                continue
+            own = sketches.take(k, int(sketches.length[k]))
+            most = np.zeros(len(ok), np.int64)
             for n in np.unique(sketches.length[ok]).tolist():
-                at = ok[sketches.length[ok] == n]
-                at = at[spec.enough(most_common(size[at], size[k], sketches.take(at, n), own), size[at], size[k])]
-                left.append(np.full(len(at), sid[k]))
-                right.append(sid[at])
+                at = np.flatnonzero(sketches.length[ok] == n)
+                most[at] = most_common(size[ok[at]], size[k], sketches.take(ok[at], n), own)
+            allowed = spec.enough(most, size[ok], size[k])
+            at, most = ok[allowed], most[allowed]
+            if forest and len(at):
+                at = at[np.argsort(-most / (size[at] + size[k]), kind="stable")]
+                reached, first = np.unique(comp[at], return_index=True)
+                at = at[first]
+                comp[np.isin(comp, reached)] = comp[k]
+            left.append(np.full(len(at), sid[k]))
+            right.append(sid[at])
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *left]), np.concatenate([none, *right])
 
@@ -421,9 +434,10 @@ def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text
     have a link. Sets are named by a 64-bit sum over 64-bit shingle hashes: among N distinct
     texts about N * N / 2**65 pairs would share a name by chance.
 
-    Links are looked for where they can matter. Each set is compared with its groups' hubs;
-    after what that connects, only pairs of a group still in different components are
-    compared. Sketches rule most of them out by an exact bound, whole sets decide the rest.
+    Links are looked for where they can matter. Each set is compared with its groups' hubs,
+    then groups still in several components by spanning forests, and last every pair of a
+    group that is still in different components. Sketches rule most pairs out by an exact
+    bound, whole sets decide the rest.
     """
     spark = docs.sparkSession
     survey = durable(_survey(docs, spec, text), "survey")
@@ -436,11 +450,13 @@ def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text
     best = _bounded(stars, sets, spec).groupBy("b").agg(F.max_by("a", "close").alias("a"))
     links = _similar(docs, survey, best, spec, text)
     joined = components(links)
-    more = _similar(docs, survey, _apart(groups, sets, joined, spec), spec, text)
-    final = components(links.unionByName(more))
+    for forest in (True, False):
+        more = _similar(docs, survey, _apart(groups, sets, joined, spec, forest), spec, text)
+        if not more.isEmpty():
+            joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     discard(groups)
     discard(sets)
-    return survey.where("token_class is null").select("doc_id", "sid", "size"), final
+    return survey.where("token_class is null").select("doc_id", "sid", "size"), joined
 
 
 def connect(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text") -> DataFrame:
