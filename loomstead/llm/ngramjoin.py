@@ -17,7 +17,7 @@ from loomstead.llm.storage import discard, durable
 #: Token classes whose documents are counted; the counts are all that is broadcast of them.
 CLASS_BITS = 16
 #: Least bits of the parity sketch that bounds an intersection from above.
-LEAST_SKETCH = 512
+LEAST_SKETCH = 256
 #: Bits of the bitmap of sets that any candidate pair names.
 FILTER_BITS = 24
 #: Members of a group that one task compares at a time.
@@ -123,8 +123,8 @@ def index_keys(sets: Sets, frequent: np.ndarray, percent: int) -> tuple[np.ndarr
 
 
 def sketch_bits(size: np.ndarray) -> np.ndarray:
-    """Bits of a sketch: a power of two, four to eight for each token."""
-    return np.maximum(LEAST_SKETCH, 1 << np.ceil(np.log2(4 * np.maximum(size, 1))).astype(np.int64))
+    """Bits of a sketch: a power of two, one and a half to three for each token."""
+    return np.maximum(LEAST_SKETCH, 1 << np.ceil(np.log2(1.5 * np.maximum(size, 1))).astype(np.int64))
 
 
 def parity_sketches(sets: Sets, chosen: np.ndarray) -> list[bytes]:
