@@ -115,7 +115,7 @@ def brand_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flag_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by flag (rows) and status (columns)."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count("*")).withColumnsRenamed({"F": "n_f", "O": "n_o"})
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1))).withColumnsRenamed({"F": "n_f", "O": "n_o"})
 
 
 def nations_union(spark: SparkSession, sf_dir: str) -> DataFrame:
