@@ -111,7 +111,7 @@ def _by_width(part: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield part.filter(pa.array(size == n))
 
 
-def _grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Rows of each key in turn; the input is sorted by the keys."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -177,7 +177,7 @@ def _links(nodes: DataFrame, spec: LatticeSpec) -> DataFrame:
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[int, int]] = set()
-        for group in _grouped(batches, ["cell", "i", "j"]):
+        for group in grouped(batches, ["cell", "i", "j"]):
             own, mine = group.column("own").to_numpy(), group.column("mine").to_numpy()
             if group.num_rows < 2 or not own.any():
                 continue
@@ -201,7 +201,7 @@ def _degrees(nodes: DataFrame, joined: DataFrame, spec: LatticeSpec) -> DataFram
     """Exact number of other vectors that each node of a component links to; links stay inside components."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, ["component", "i", "j"]):
+        for group in grouped(batches, ["component", "i", "j"]):
             mine, weight = group.column("mine").to_numpy(), group.column("weight").to_numpy()
             unit = _units(group.column("embedding").combine_chunks())
             linked = unit @ unit.T >= spec.threshold

@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.llm import text as tx
 from loomstead.llm.components import components
+from loomstead.llm.lattice import grouped
 from loomstead.llm.storage import discard, durable
 
 #: Token classes whose documents are counted; the counts are all that is broadcast of them.
@@ -22,6 +24,8 @@ LEAST_SKETCH = 256
 FILTER_BITS = 24
 #: Members of a group that one task compares at a time.
 BLOCK = 4096
+#: Tokens of undecided members that one task holds of each block.
+BLOCK_TOKENS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -355,11 +359,12 @@ def _similar(docs: DataFrame, survey: DataFrame, pairs: DataFrame, spec: JoinSpe
 
 
 def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec, forest: bool) -> DataFrame:
-    """Pairs of a group that are in different components and that their sketches allow.
+    """Compare by sketches the members of a group that are in different components.
 
     Groups of one component are done. A larger group is compared block by block. With
-    ``forest``, a pair that earlier ones of its block connect is left out, so there are fewer
-    pairs than members; once those that hold are joined, a call without it finds the rest.
+    ``forest`` the result is pairs (a, b) that sketches allow, without those that earlier ones
+    of their block connect, so there are fewer than members. Without, it is the undecided
+    members (gid, sid, size, comp): those that are in any allowed pair.
     """
     tagged = groups.select("gid", "sid", "size").join(comps, groups["sid"] == comps["node"], "left").select("gid", "sid", "size", F.coalesce("component", "sid").alias("comp"))
     mixed = tagged.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high").select("gid", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
@@ -369,9 +374,11 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec,
     rows = rows.select("gid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sid", "size", "comp", "sketch")
 
     def compare(group: list[np.ndarray], sketches: SketchRows) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs in the group, or of its undecided members (twice)."""
         sid, size, comp, mine = group
         comp = comp.copy()
         left, right = [], []
+        undecided = np.zeros(len(sid), bool)
         for k in range(len(sid)):
             rest = slice(k + 1, None)
             ok = np.flatnonzero((comp[rest] != comp[k]) & spec.near(size[rest], size[k])) + k + 1
@@ -391,8 +398,12 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec,
                 reached, first = np.unique(comp[at], return_index=True)
                 at = at[first]
                 comp[np.isin(comp, reached)] = comp[k]
-            left.append(np.full(len(at), sid[k]))
-            right.append(sid[at])
+                left.append(np.full(len(at), k))
+                right.append(at)
+            elif len(at):
+                undecided[at] = undecided[k] = True
+        if not forest:
+            left = right = [np.flatnonzero(undecided)]
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *left]), np.concatenate([none, *right])
 
@@ -404,8 +415,14 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec,
             sketch = table.column("sketch").to_pylist()
             key = np.stack([column["gid"], column["i"], column["j"]])
             first = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
-            pairs = [compare([column[c][s:e].astype(np.int64) for c in ("sid", "size", "comp", "mine")], SketchRows(sketch[s:e])) for s, e in zip(first, np.append(first[1:], table.num_rows), strict=True)]
-            a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+            found = []
+            for s, e in zip(first, np.append(first[1:], table.num_rows), strict=True):
+                a, b = compare([column[c][s:e].astype(np.int64) for c in ("sid", "size", "comp", "mine")], SketchRows(sketch[s:e]))
+                found.append((a + s, b + s))
+            a, b = np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
+            if not forest:
+                return pa.RecordBatch.from_arrays([pa.array(column[c][a].astype(np.int64)) for c in ("gid", "sid", "size", "comp")], ["gid", "sid", "size", "comp"])
+            a, b = column["sid"][a], column["sid"][b]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
@@ -424,6 +441,52 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec,
             yield emit(pa.Table.from_batches(held))
 
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = "a long, b long" if forest else "gid long, sid long, size long, comp long"
+    return rows.repartition(parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, kinds).distinct()
+
+
+def _rest(members: DataFrame, sets: DataFrame, spec: JoinSpec, salt: int) -> DataFrame:
+    """Pairs (a, b) that connect all similar undecided members of a group: a spanning forest of each block.
+
+    Tokens are compared by 32-bit hashes, which can only make an intersection look larger;
+    so a pair may not hold, but with other ``salt`` it is another one.
+    """
+    blocks = members.groupBy("gid").agg(F.ceil(F.sum("size") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    rows = members.join(blocks, "gid").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("gid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sid", "comp")
+    rows = rows.join(sets.select("sid", F.transform("tokens", lambda t: F.hash(t, F.lit(salt))).alias("tokens")), "sid")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ["gid", "i", "j"]):
+            sid, mine = group.column("sid").to_numpy(), group.column("mine").to_numpy()
+            comp = group.column("comp").to_numpy().copy()
+            lists = group.column("tokens").combine_chunks()
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            begin = np.cumsum(size) - size
+            values, token = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            mark = np.zeros(len(values), np.int32)
+            across = mine.min() != mine.max()
+            pairs = []
+            for k in range(len(sid) - 1):
+                ok = (comp != comp[k]) & spec.near(size, size[k])
+                ok[: k + 1] = False
+                if across:
+                    ok &= mine != mine[k]
+                if not ok.any():
+                    continue
+                own = token[begin[k] : begin[k] + size[k]]
+                mark[own] = 1
+                common = np.add.reduceat(mark[token], begin)
+                mark[own] = 0
+                at = np.flatnonzero(ok & spec.enough(common, size, size[k]))
+                reached, first = np.unique(comp[at], return_index=True)
+                pairs += [(int(min(sid[k], sid[x])), int(max(sid[k], sid[x]))) for x in at[first]]
+                comp[np.isin(comp, reached)] = comp[k]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs])], ["a", "b"])
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -435,9 +498,10 @@ def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text
     texts about N * N / 2**65 pairs would share a name by chance.
 
     Links are looked for where they can matter. Each set is compared with its groups' hubs,
-    then groups still in several components by spanning forests, and last every pair of a
-    group that is still in different components. Sketches rule most pairs out by an exact
-    bound, whole sets decide the rest.
+    then groups still in several components by spanning forests. Sketches rule most pairs out
+    by an exact bound, whole sets decide the rest. Last, all members that sketches leave
+    undecided are compared by hashed tokens; if a pair so found doesn't hold, which takes a
+    collision of hashes, that is done again with other hashes, as it may have hidden a link.
     """
     spark = docs.sparkSession
     survey = durable(_survey(docs, spec, text), "survey")
@@ -450,10 +514,20 @@ def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text
     best = _bounded(stars, sets, spec).groupBy("b").agg(F.max_by("a", "close").alias("a"))
     links = _similar(docs, survey, best, spec, text)
     joined = components(links)
-    for forest in (True, False):
-        more = _similar(docs, survey, _apart(groups, sets, joined, spec, forest), spec, text)
-        if not more.isEmpty():
-            joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    def join(more: DataFrame) -> DataFrame:
+        return joined if more.isEmpty() else components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    joined = join(_similar(docs, survey, _apart(groups, sets, joined, spec, True), spec, text))
+    members = durable(_apart(groups, sets, joined, spec, False), "undecided")
+    whole = durable(_sets_of(docs, survey, members.select("sid").distinct(), spec, text, True), "sets")
+    salt, failed = 0, True
+    while failed:
+        pairs = durable(_rest(members, whole, spec, salt), "pairs")
+        more = durable(_verified(pairs, whole, spec), "links")
+        failed, salt = pairs.count() > more.count(), salt + 1
+        joined = join(more)
+    discard(whole)
     discard(groups)
     discard(sets)
     return survey.where("token_class is null").select("doc_id", "sid", "size"), joined
