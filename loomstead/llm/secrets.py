@@ -121,8 +121,8 @@ def fit(samples: DataFrame, smoothing: float = 0.5) -> MarkovRatio:
     return MarkovRatio(logs[1] - logs[0])
 
 
-def scan(docs: DataFrame, model: MarkovRatio, text: str = "text", least: int = 16, log_odds: float = 14.0) -> DataFrame:
-    """Add ``secrets``: every span as an array of (start, end, kind), by start, then kind.
+def scan(docs: DataFrame, model: MarkovRatio, text: str = "text", least: int = 16, log_odds: float = 14.0, spans: str = "secrets") -> DataFrame:
+    """Add ``spans``: every span as an array of (start, end, kind), by start, then kind.
 
     Positions are code points, the end exclusive. Runs of at least ``least`` characters that
     share nothing with a fixed pattern's span count as ``random`` where their log-likelihood
@@ -162,18 +162,18 @@ def scan(docs: DataFrame, model: MarkovRatio, text: str = "text", least: int = 1
 
         return step
 
-    return tx.append_columns(docs, [T.StructField("secrets", span)], make, text)
+    return tx.append_columns(docs, [T.StructField(spans, span)], make, text)
 
 
 def redact(docs: DataFrame, model: MarkovRatio, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """Replace every found span (overlapping ones as one) by ``mask``; columns stay as they are."""
     columns = docs.columns
-    found = scan(docs, model, text)
+    found = scan(docs, model, text, spans="__secrets")
 
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             texts = []
-            for t, spans in zip(part.column(text).to_pylist(), part.column("secrets").to_pylist(), strict=True):
+            for t, spans in zip(part.column(text).to_pylist(), part.column("__secrets").to_pylist(), strict=True):
                 if t is not None and spans:
                     out, done = [], 0
                     for s in spans:
