@@ -363,8 +363,9 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec,
 
     Groups of one component are done. A larger group is compared block by block. With
     ``forest`` the result is pairs (a, b) that sketches allow, without those that earlier ones
-    of their block connect, so there are fewer than members. Without, it is the undecided
-    members (gid, sid, size, comp): those that are in any allowed pair.
+    of their block connect, so there are fewer than members; and rows that hold only a gid,
+    for groups with any such pair. Without, it is the undecided members (gid, sid, size,
+    comp): those that are in any allowed pair.
     """
     tagged = groups.select("gid", "sid", "size").join(comps, groups["sid"] == comps["node"], "left").select("gid", "sid", "size", F.coalesce("component", "sid").alias("comp"))
     mixed = tagged.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high").select("gid", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
@@ -422,9 +423,12 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec,
             a, b = np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
             if not forest:
                 return pa.RecordBatch.from_arrays([pa.array(column[c][a].astype(np.int64)) for c in ("gid", "sid", "size", "comp")], ["gid", "sid", "size", "comp"])
+            gids = np.unique(column["gid"][a])
             a, b = column["sid"][a], column["sid"][b]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            no_gid, no_pair = pa.nulls(both.shape[1], pa.int64()), pa.nulls(len(gids), pa.int64())
+            columns = [[pa.array(both[0]), no_pair], [pa.array(both[1]), no_pair], [no_gid, pa.array(gids)]]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "gid"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -441,7 +445,7 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec,
             yield emit(pa.Table.from_batches(held))
 
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = "a long, b long" if forest else "gid long, sid long, size long, comp long"
+    kinds = "a long, b long, gid long" if forest else "gid long, sid long, size long, comp long"
     return rows.repartition(parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, kinds).distinct()
 
 
@@ -518,8 +522,12 @@ def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text
     def join(more: DataFrame) -> DataFrame:
         return joined if more.isEmpty() else components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    joined = join(_similar(docs, survey, _apart(groups, sets, joined, spec, True), spec, text))
-    members = durable(_apart(groups, sets, joined, spec, False), "undecided")
+    allowed = durable(_apart(groups, sets, joined, spec, True), "allowed")
+    joined = join(_similar(docs, survey, allowed.where("a is not null"), spec, text))
+    # coarser components leave no pair in a group that had none before
+    left = groups.join(allowed.where("gid is not null").select("gid").distinct(), "gid", "left_semi")
+    members = durable(_apart(left, sets, joined, spec, False), "undecided")
+    discard(allowed)
     whole = durable(_sets_of(docs, survey, members.select("sid").distinct(), spec, text, True), "sets")
     salt, failed = 0, True
     while failed:
