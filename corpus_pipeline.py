@@ -22,7 +22,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group that word 5-gram similarity of 0.75 or more connects."""
+    """Keep one row, of the smallest id, of each group that word 5-gram similarity of 0.75 or more connects."""
     return ngramjoin.keep_one(docs)
 
 

@@ -497,7 +497,7 @@ def _rest(members: DataFrame, sets: DataFrame, spec: JoinSpec, salt: int) -> Dat
 def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Name each document's shingle set, and find which sets similarity connects.
 
-    Returns (doc_id, sid, size) of every document and (node, component) of the sets that
+    Returns (doc_id, sid, size, hash of the text) of every document and (node, component) of the sets that
     have a link. Sets are named by a 64-bit sum over 64-bit shingle hashes: among N distinct
     texts about N * N / 2**65 pairs would share a name by chance.
 
@@ -538,7 +538,7 @@ def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text
     discard(whole)
     discard(groups)
     discard(sets)
-    return survey.where("token_class is null").select("doc_id", "sid", "size"), joined
+    return survey.where("token_class is null").select("doc_id", "sid", "size", "hash"), joined
 
 
 def connect(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text") -> DataFrame:
@@ -555,9 +555,22 @@ def connect(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text") -> DataFrame:
-    """One document of each component, that of the smallest ``doc_id``; columns stay as they are.
+    """One row of each component, that of the smallest ``doc_id``; columns stay as they are.
 
-    Documents without words stay. A null id counts as the largest.
+    Rows without words stay, each of them. A null id counts as the largest. Among texts of
+    one id the one whose hash is least stays, and of rows that repeat id and text the one
+    whose other columns' hash is least.
     """
-    first = connect(docs, spec, text).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    named, final = similar_sets(docs, spec, text)
+    rows = named.join(final, named["sid"] == final["node"], "left").select("doc_id", "hash", "size", F.coalesce("component", "sid").alias("c"))
+    texts = rows.where("size > 0").groupBy("c", "doc_id", "hash").agg(F.count("*").alias("n"))
+    least = texts.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "n")).alias("r"))
+    first = durable(least.select("r.doc_id", "r.hash", "r.n"), "kept")
+    wordless = rows.where("size = 0").select("doc_id", "hash", F.lit(1).cast("long").alias("n")).distinct()
+
+    hashed = docs.withColumn("__hash", F.xxhash64(text))
+    chosen = lambda keys: hashed.join(keys, hashed["doc_id"].eqNullSafe(keys["doc_id"]) & (hashed["__hash"] == keys["hash"]), "left_semi")
+    others = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    repeated = chosen(first.where("n > 1")).withColumn("__others", others)
+    one = repeated.groupBy("doc_id", "__hash").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), "__others").alias("__row")).select("__row.*")
+    return chosen(first.where("n = 1").unionByName(wordless)).drop("__hash").unionByName(one)

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loomstead.llm import ngramjoin
 from loomstead.llm.storage import durable
 
 
@@ -26,6 +27,34 @@ def test_stages_on_awkward_documents(spark, clashing):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
 
 
+def test_stages_on_repeated_and_missing_ids(spark, clashing):
+    """One row of each group stays, and with it its text, though rows and ids repeat or ids are null."""
+    base = " ".join(f"word{i}" for i in range(150))
+    twice = clashing.where("doc_id = 7 and text <> 'another text under a used id'").withColumns({"doc_id": F.lit(90).cast("long"), "text": F.lit(base)})
+    seen, docs = {}, clashing.unionByName(twice)
+    assert twice.count() == 2
+    for name, stage in corpus_pipeline.STAGES:
+        docs = seen[name] = durable(stage(spark, docs, "unused"), name)
+    identified = seen["language_id"]
+    groups = {r.component_id for r in ngramjoin.connect(identified.where("doc_id is not null and text <> 'another text under a used id'")).collect()}
+    kept = seen["ngram_jaccard_join"].collect()
+    found = [r.text for r in identified.collect()]
+    assert len({r.text for r in kept}) == len(kept)
+    for own in ("no id at all here", "another text under a used id"):
+        assert [r.text for r in kept].count(own) == (own in found)
+    assert len(kept) == len(groups) + ("no id at all here" in found) + ("another text under a used id" in found)
+    assert found.count(base) == 2
+    assert [r.text for r in seen["suffix_dedup"].where("doc_id = 90").collect()] == [base]
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(9)) for x in "abc")
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (2, a, "x"), (2, b, "x"), (None, b, "x"), (None, c, "x"), (None, c, "x"), (None, None, "x"), (None, None, "x"), (None, "", "x"), (3, " ", "x"), (3, " ", "x")]
+    kept = ngramjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (None, c), (None, None), (None, None), (None, ""), (3, " "), (3, " ")], key=str)
+
+
 def test_stages_on_an_empty_table(spark, empty):
     docs = empty
     for name, stage in corpus_pipeline.STAGES:
