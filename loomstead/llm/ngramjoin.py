@@ -449,17 +449,18 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec,
     return rows.repartition(parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, kinds).distinct()
 
 
-def _rest(members: DataFrame, sets: DataFrame, spec: JoinSpec, salt: int) -> DataFrame:
-    """Pairs (a, b) that connect all similar undecided members of a group: a spanning forest of each block.
+def _rest(members: DataFrame, sets: DataFrame, spec: JoinSpec, whole: bool) -> DataFrame:
+    """Pairs (gid, a, b) that connect all similar undecided members of a group: a spanning forest of each block.
 
-    Tokens are compared by 32-bit hashes, which can only make an intersection look larger;
-    so a pair may not hold, but with other ``salt`` it is another one.
+    Unless ``whole``, tokens are compared by 32-bit hashes, which can only make an intersection
+    look larger; so a pair may not hold.
     """
     blocks = members.groupBy("gid").agg(F.ceil(F.sum("size") / BLOCK_TOKENS).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     rows = members.join(blocks, "gid").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("gid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sid", "comp")
-    rows = rows.join(sets.select("sid", F.transform("tokens", lambda t: F.hash(t, F.lit(salt))).alias("tokens")), "sid")
+    tokens = F.col("tokens") if whole else F.transform("tokens", lambda t: F.hash(t))
+    rows = rows.join(sets.select("sid", tokens.alias("tokens")), "sid")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["gid", "i", "j"]):
@@ -488,10 +489,27 @@ def _rest(members: DataFrame, sets: DataFrame, spec: JoinSpec, salt: int) -> Dat
                 pairs += [(int(min(sid[k], sid[x])), int(max(sid[k], sid[x]))) for x in at[first]]
                 comp[np.isin(comp, reached)] = comp[k]
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs])], ["a", "b"])
+                gid = pa.repeat(group.column("gid")[0], len(pairs))
+                yield pa.RecordBatch.from_arrays([gid, pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs])], ["gid", "a", "b"])
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, "gid long, a long, b long").distinct()
+
+
+def _decided(members: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Similar pairs (a, b) that connect all similar undecided members of the groups.
+
+    Tokens that share a 32-bit hash share it whatever is hashed after them, so groups with a
+    pair that doesn't hold, which may have hidden a link, are compared by whole tokens: then
+    every pair holds.
+    """
+    pairs = durable(_rest(members, sets, spec, False), "pairs")
+    links = durable(_verified(pairs.select("a", "b").distinct(), sets, spec), "links")
+    failed = durable(pairs.join(links, ["a", "b"], "left_anti").select("gid").distinct(), "failed")
+    discard(pairs)
+    if failed.isEmpty():
+        return links
+    return links.unionByName(_rest(members.join(failed, "gid", "left_semi"), sets, spec, True).select("a", "b"))
 
 
 def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -505,7 +523,8 @@ def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text
     then groups still in several components by spanning forests. Sketches rule most pairs out
     by an exact bound, whole sets decide the rest. Last, all members that sketches leave
     undecided are compared by hashed tokens; if a pair so found doesn't hold, which takes a
-    collision of hashes, that is done again with other hashes, as it may have hidden a link.
+    collision of hashes, its groups are compared again by whole tokens, as it may have hidden
+    a link.
     """
     spark = docs.sparkSession
     survey = durable(_survey(docs, spec, text), "survey")
@@ -529,12 +548,7 @@ def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text
     members = durable(_apart(left, sets, joined, spec, False), "undecided")
     discard(allowed)
     whole = durable(_sets_of(docs, survey, members.select("sid").distinct(), spec, text, True), "sets")
-    salt, failed = 0, True
-    while failed:
-        pairs = durable(_rest(members, whole, spec, salt), "pairs")
-        more = durable(_verified(pairs, whole, spec), "links")
-        failed, salt = pairs.count() > more.count(), salt + 1
-        joined = join(more)
+    joined = join(durable(_decided(members, whole, spec), "links"))
     discard(whole)
     discard(groups)
     discard(sets)

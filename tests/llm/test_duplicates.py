@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,27 @@ def test_join_compares_large_groups_in_blocks(spark, monkeypatch):
     check_components(spark.createDataFrame(list(enumerate(near_copies(8, 2, 25))), "doc_id long, text string"))
 
 
+def test_join_ends_when_token_hashes_collide(spark, monkeypatch):
+    """Two shingles with one 32-bit hash, which sketches don't tell apart: the sets look alike but aren't."""
+    lead = [f"lead{i}" for i in range(9)]
+    ends = [f"end{i}" for i in range(300_000)]
+    token, owner, _ = ngramjoin._shingles(pa.array([" ".join([*lead[5:], e]) for e in ends]), 5)
+    hashed = spark.createDataFrame(pa.table({"i": owner, "t": token.view(np.int64)})).groupBy(F.hash("t")).agg(F.collect_list("i").alias("i")).where("size(i) > 1").first()
+    one, other = (ends[i] for i in hashed.i[:2])
+    monkeypatch.setattr(ngramjoin, "parity_sketches", lambda sets, chosen: [bytes(32)] * len(chosen))
+    rounds, rest = [], ngramjoin._rest
+
+    def counted(*args):
+        rounds.append(args[-1])
+        assert len(rounds) < 4, "no end of rounds"
+        return rest(*args)
+
+    monkeypatch.setattr(ngramjoin, "_rest", counted)
+    texts = [" ".join([*lead, one]), " ".join([*lead, other]), " ".join([*lead, one, "more"]), " ".join([*lead, other, "less"])]
+    check_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert rounds == [False, True]
+
+
 def test_join_edge_cases(awkward, clashing, empty):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
     simple = awkward.where("doc_id is not null and doc_id <> 7")
