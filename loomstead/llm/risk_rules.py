@@ -147,6 +147,8 @@ def upper_bound(k: int, n: int, delta: float) -> float:
 
 @dataclass
 class Cutoff:
+    """``n_rejected`` good documents fail this rule; ``bound`` is that of all rules of the stratum together."""
+
     stratum: str | None
     rule: str
     cutoff: float
@@ -155,29 +157,60 @@ class Cutoff:
     bound: float
 
 
+def _tighten(steps: np.ndarray, count: np.ndarray, risk: float, delta: float) -> dict[str, tuple[float, int, float]]:
+    """Cutoff, rejected documents and bound of each rule that is used in one stratum.
+
+    A row of ``steps`` holds, by rule, the number of tightenings from which it is rejected;
+    ``count`` documents share it. Rules are tightened in turn, a step at a time, and each
+    proposal is tested on what all rules together reject. A rule whose proposal isn't
+    certain stays as it was from then on. Until the first failure this is one fixed
+    sequence, in which only the first wrong proposal can do harm; after m failures it
+    is one of at most C(proposals, m) fixed sequences, by where the failures were. Each of
+    those is tested at ``delta / 2**(m + 1) / C(proposals, m)``, which adds up to less than ``delta``.
+    """
+    family = rules()
+    n = int(count.sum())
+    proposals = sum(len(grid) for _, grid in family.values())
+    level = lambda m: delta / 2 ** (m + 1) / math.comb(proposals, m)
+    now = np.zeros(len(family), np.int64)
+    stopped: list[int] = []
+    for step in range(1, 1 + max(len(grid) for _, grid in family.values())):
+        for r, (_, grid) in enumerate(family.values()):
+            if r in stopped or step > len(grid):
+                continue
+            tried = now.copy()
+            tried[r] = step
+            k = int(count[(steps <= tried).any(1)].sum())
+            if k <= risk * n and binomial_cdf(k, n, risk) <= level(len(stopped)):
+                now, passed = tried, (k, n, level(len(stopped)))
+            else:
+                stopped.append(r)
+    bound = upper_bound(*passed) if now.any() else 1.0
+    return {name: (grid[-now[r]], int(count[steps[:, r] <= now[r]].sum()), bound) for r, (name, (_, grid)) in enumerate(family.items()) if now[r]}
+
+
 def select_cutoffs(labelled: DataFrame, stratum: str, risk: float = 0.02, delta: float = 0.05) -> list[Cutoff]:
-    """The strictest cutoff of each rule in each stratum with a guaranteed false rejection rate.
+    """Strict cutoffs of the rules in each stratum with a guaranteed false rejection rate.
 
     ``labelled`` holds good held-out documents with METRICS. With probability ``1 - delta``
-    no chosen cutoff rejects over ``risk / rules`` of a stratum's good documents, so all rules
-    together reject at most ``risk``: each test of a stratum, rule and cutoff runs at
-    ``delta`` over the number of all tests (Bonferroni). A stratum with too few good
-    documents for any cutoff gets none, and so keeps everything. Only the counts of
-    strata times cutoffs reach the driver.
+    the chosen cutoffs of every stratum together reject at most ``risk`` of its good
+    documents: each stratum is tested at ``delta`` over the number of strata, as
+    :func:`_tighten` tells. A stratum with too few good documents for any cutoff gets none,
+    and so keeps everything. Per stratum one count of each met combination of grid places
+    reaches the driver, however many documents there are.
     """
     family = rules()
-    sums = [F.sum((score > c).cast("long")).alias(f"{name}:{i}") for name, (score, grid) in family.items() for i, c in enumerate(grid)]
-    rows = labelled.groupBy(F.col(stratum).alias("__stratum")).agg(F.count("*").alias("__n"), *sums).collect()
-    tests = max(1, len(rows) * len(sums))
-    each = risk / len(family)
-    chosen = []
+    # tightenings from which a score is rejected: cutoffs are tried from the last of the grid to the first
+    place = [(F.lit(len(grid) + 1) - sum((F.when(score > c, 1).otherwise(0) for c in grid), F.lit(0))).alias(f"__{name}") for name, (score, grid) in family.items()]
+    rows = labelled.select(F.col(stratum).alias("__stratum"), *place).groupBy("__stratum", *[f"__{name}" for name in family]).agg(F.count("*").alias("__n")).collect()
+    cells: dict[str | None, list] = {}
     for row in rows:
-        for name, (_, grid) in family.items():
-            for i, c in enumerate(grid):
-                k, n = row[f"{name}:{i}"], row["__n"]
-                if k <= each * n and binomial_cdf(k, n, each) <= delta / tests:
-                    chosen.append(Cutoff(row["__stratum"], name, c, n, k, upper_bound(k, n, delta / tests)))
-                    break
+        cells.setdefault(row["__stratum"], []).append(row[1:])
+    chosen = []
+    for of, found in cells.items():
+        table = np.array(found, np.int64)
+        cutoffs = _tighten(table[:, :-1], table[:, -1], risk, delta / len(cells))
+        chosen += [Cutoff(of, name, c, int(table[:, -1].sum()), k, bound) for name, (c, k, bound) in cutoffs.items()]
     return chosen
 
 

@@ -64,6 +64,32 @@ def test_cutoffs_keep_their_guarantee(spark):
     assert judged.where("stratum = 'b' and not kept").count() == 0
 
 
+def test_small_strata_get_cutoffs(spark):
+    sizes = {"en": 2076, "de": 507, "fr": 505, "es": 321, "it": 100}
+    rows = [(lang, 100, 500, 0, 0, 0, 5, 10) for lang, n in sizes.items() for _ in range(n)]
+    good = spark.createDataFrame(rows, "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long")
+    found = risk_rules.select_cutoffs(good, "stratum")
+    assert {c.stratum for c in found} == {"en", "de", "fr", "es"}
+    assert all(c.bound <= 0.02 for c in found)
+    assert {(c.stratum, c.rule) for c in found} >= {(lang, rule) for lang in ("en", "de", "fr", "es") for rule in ("symbols", "capitals")}
+
+
+def test_all_rules_together_keep_the_risk():
+    """Over many samples, cutoffs whose true risk is too high are chosen as rarely as promised."""
+    rng = np.random.default_rng(3)
+    grids = [grid for _, grid in risk_rules.rules().values()]
+    wrong, used = 0, 0
+    for _ in range(300):
+        rates = [0.0004, 0.0002, 0.0003, 0.0005, 0.0006]  # of each rule and step
+        steps = np.stack([np.ceil(rng.random(1500) / p) for p in rates], axis=1).astype(np.int64)
+        found = risk_rules._tighten(np.minimum(steps, [len(g) + 1 for g in grids]), np.ones(1500, np.int64), 0.02, 0.2)
+        now = {name: len(grid) - grid.index(found[name][0]) for name, grid in zip(risk_rules.rules(), grids, strict=True) if name in found}
+        good = math.prod(1 - p * now.get(name, 0) for p, name in zip(rates, risk_rules.rules(), strict=True))
+        wrong += 1 - good > 0.02
+        used += bool(found)
+    assert used > 200 and wrong <= 0.2 * 300
+
+
 def test_rules_on_edge_tables(awkward, empty, clashing, spark):
     labels = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (None, 1, 0), (9, None, None)], "doc_id long, quality int, toxic int")
     judged, _ = risk_rules.judge(clashing, labels)
