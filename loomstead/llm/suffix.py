@@ -1,4 +1,4 @@
-"""Removal of repeated substrings by prefix doubling over sampled positions."""
+"""Removal of repeated substrings by hash ranks of sampled positions and range splitting, not by prefix doubling."""
 
 from __future__ import annotations
 
@@ -215,8 +215,8 @@ def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str =
     Returns the documents (doc_id, name, n_bytes, sha256, copies), the spans (name, start, end)
     of distinct texts, which may overlap, and the bucketed table of the texts that have any.
 
-    Positions are sampled by content. Their ranks double from ``core / 4`` bytes to ``core / 2``
-    and ``core``; each round keeps the positions whose rank another one shares. Past that, the
+    Positions are sampled by content. Their ranks are hashes of ``core / 2`` bytes
+    and then of ``core``, made anew from the texts; each round keeps the positions whose rank another one shares. Past that, the
     offsets that a position answers for are told apart in ranges of falling size: a range whose
     bytes all occur elsewhere together is repeated, one whose common bytes don't isn't, and
     the rest is split. Ranks are 64-bit names of the strings (two different strings among N
