@@ -6,6 +6,7 @@ import heapq
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,12 @@ NEVER = 1 << 30
 WORD_END = "</w>"
 #: Longer words are merged one by one, with a queue.
 SHORT_WORD = 64
+#: Words whose longest match is sought at a time.
+PROPOSALS = 1 << 14
+#: Characters that are encoded at a time; a longer text is cut where no pre-token can cross.
+PART_CHARS = 1 << 19
+#: Before a single space between other characters, every pre-token ends.
+_SAFE_CUT = re.compile(r"\S(?= \S)")
 #: Rows that are decoded at a time.
 DECODE_ROWS = 64
 #: From U+0250 on, characters may change under canonical composition; none before do.
@@ -70,11 +77,15 @@ class SpeculativeBPE:
         spelled = [(bytes(letters[c] for c in t.removesuffix(WORD_END)), t.endswith(WORD_END), i) for t, i in vocab.items()]
         size = np.array([len(b) for b, _, _ in spelled], np.int64)
         self.longest = int(size.max())
-        ends = np.cumsum(size)
-        sums = tx.rolling(tx.BYTE_CODES[np.frombuffer(b"".join(b for b, _, _ in spelled), np.uint8)])
-        key = self._key(tx.span_hash(sums, ends - size, ends), size, np.array([e for _, e, _ in spelled]))
+        ends, of = np.cumsum(size), np.array([i for _, _, i in spelled])
+        self.spelling = np.frombuffer(b"".join(b for b, _, _ in spelled), np.uint8)
+        self.spelled_at, self.spelled_size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.spelled_at[of], self.spelled_size[of] = ends - size, size
+        self.closes = np.zeros(n, bool)
+        self.closes[of] = [e for _, e, _ in spelled]
+        key = self._key(tx.span_hashes(self.spelling, ends - size, ends), size, self.closes[of])
         order = np.argsort(key)
-        self.token_key, self.token_id = key[order], np.array([i for _, _, i in spelled])[order]
+        self.token_key, self.token_id = key[order], of[order]
         self.sound = self._self_encoding()
         self.seen_pair, self.seen_ok = np.zeros(0, np.int64), np.zeros(0, bool)
 
@@ -137,21 +148,15 @@ class SpeculativeBPE:
             at = np.searchsorted(self.seen_pair, key)
         return self.seen_ok[at][inverse]
 
-    def _propose(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _propose(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest matches of all words side by side: word number and id, words in order."""
         word, found_word, found_id = np.arange(len(start)), [], []
         at = start.copy()
         while len(word):
             best, size = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64)
-            left = end[word] - at
-            for length in range(min(self.longest, int(left.max())), 0, -1):
-                open_ = np.flatnonzero((best < 0) & (left >= length))
-                if not len(open_):
-                    continue
-                key = self._key(span := tx.span_hash(sums, at[open_], at[open_] + length), np.full(len(span), length), left[open_] == length)
-                i = np.minimum(np.searchsorted(self.token_key, key), len(self.token_key) - 1)
-                hit = self.token_key[i] == key
-                best[open_[hit]], size[open_[hit]] = self.token_id[i[hit]], length
+            for low in range(0, len(word), PROPOSALS):
+                rows = slice(low, low + PROPOSALS)
+                self._longest(data, at[rows], end[word[rows]] - at[rows], best[rows], size[rows])
             found_word.append(word)
             found_id.append(best)
             at = at + size
@@ -161,6 +166,28 @@ class SpeculativeBPE:
         order = np.argsort(words, kind="stable")
         return words[order], ids[order]
 
+    def _longest(self, data: np.ndarray, at: np.ndarray, left: np.ndarray, best: np.ndarray, size: np.ndarray) -> None:
+        """Set the longest token that matches at each place, by hash."""
+        hashes = tx.prefix_hashes(data, at, np.minimum(left, self.longest))
+        for length in range(hashes.shape[1], 0, -1):
+            open_ = np.flatnonzero((best < 0) & (left >= length))
+            if not len(open_):
+                continue
+            key = self._key(hashes[open_, length - 1], np.full(len(open_), length), left[open_] == length)
+            i = np.minimum(np.searchsorted(self.token_key, key), len(self.token_key) - 1)
+            hit = self.token_key[i] == key
+            best[open_[hit]], size[open_[hit]] = self.token_id[i[hit]], length
+
+    def _misspelled(self, data: np.ndarray, owner: np.ndarray, ids: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Words (by number) whose proposed tokens don't spell them, byte for byte: a hash has matched wrongly."""
+        size = self.spelled_size[ids]
+        begin = np.cumsum(size) - size
+        spelt = self.spelling[np.arange(int(size.sum())) + np.repeat(self.spelled_at[ids] - begin, size)]
+        wrong = owner[self.closes[ids] != (begin + size == end[owner])]
+        if len(spelt) == len(data):
+            return np.append(wrong, np.repeat(owner, size)[spelt != data])
+        return np.unique(owner)  # no word's tokens can be told from the next one's
+
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the lowest rank first, the leftmost of equal ones."""
         ids = [self.base[b, False] for b in word[:-1]] + [self.base[word[-1], True]]
@@ -226,9 +253,10 @@ class SpeculativeBPE:
         spelled = [w.encode() for w in words]
         size = np.array([len(w) for w in spelled], np.int64)
         end = np.cumsum(size)
-        sums = tx.rolling(tx.BYTE_CODES[np.frombuffer(b"".join(spelled), np.uint8)])
-        owner, ids = self._propose(sums, end - size, end)
+        data = np.frombuffer(b"".join(spelled), np.uint8)
+        owner, ids = self._propose(data, end - size, end)
         fails = np.zeros(len(words), bool)
+        fails[self._misspelled(data, owner, ids, end)] = True
         fails[owner[~self.sound[ids]]] = True
         same = np.flatnonzero(owner[1:] == owner[:-1])
         fails[owner[same[~self.compatible(ids[same], ids[same + 1])]]] = True
@@ -284,28 +312,43 @@ class TextEncoder:
             return texts
         return [self.tokenizer.normalizer.normalize_str(t) if not t.isascii() and _COMPOSABLE.search(t) else t.lower() for t in texts]
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and each text's offset among them."""
-        if self.plain or not any("<|" in t for t in texts):
-            return self.words(self._normal(texts))
-        parts: list[tuple[int, str, int | None]] = []
+    def _parts(self, texts: list[str]) -> Iterator[tuple[int, str, int | None]]:
+        """Text number, part of the text without special strings, and the id that follows it, if any."""
         for i, t in enumerate(texts):
             begin = 0
-            for m in self.special_pattern.finditer(t):
-                parts.append((i, t[begin : m.start()], self.special[m[0]]))
+            if not self.plain and "<|" in t:
+                for m in self.special_pattern.finditer(t):
+                    yield i, t[begin : m.start()], self.special[m[0]]
+                    begin = m.end()
+            while len(t) - begin > PART_CHARS and (m := _SAFE_CUT.search(t, begin + PART_CHARS - 1)):
+                yield i, t[begin : m.end()], None
                 begin = m.end()
-            parts.append((i, t[begin:], None))
-        found, at = self.words(self._normal([p for _, p, _ in parts]))
-        ids: list[np.ndarray] = []
-        for k, (_, _, special) in enumerate(parts):
-            ids.append(found[at[k] : at[k + 1]])
-            if special is not None:
-                ids.append(np.array([special], found.dtype))
-        whole = np.concatenate(ids)
-        sizes = np.zeros(len(texts), np.int64)
-        for k, (i, _, special) in enumerate(parts):
-            sizes[i] += at[k + 1] - at[k] + (special is not None)
-        return whole, np.concatenate([[0], np.cumsum(sizes)])
+            yield i, t[begin:], None
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and each text's offset among them."""
+        found, sizes = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+
+        def encode_parts(parts: list[tuple[int, str, int | None]]) -> None:
+            ids, at = self.words(self._normal([p for _, p, _ in parts]))
+            of = np.array([i for i, _, _ in parts], np.int64)
+            after = [(at[k + 1], special) for k, (_, _, special) in enumerate(parts) if special is not None]
+            if after:
+                ids = np.insert(ids, [a for a, _ in after], [s for _, s in after])
+            np.add.at(sizes, of, np.diff(at) + np.array([s is not None for _, _, s in parts]))
+            found.append(ids)
+
+        held: list[tuple[int, str, int | None]] = []
+        chars = 0
+        for part in self._parts(texts):
+            if held and chars + len(part[1]) > 2 * PART_CHARS:
+                encode_parts(held)
+                held, chars = [], 0
+            held.append(part)
+            chars += len(part[1])
+        if held:
+            encode_parts(held)
+        return np.concatenate(found), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:

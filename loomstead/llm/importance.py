@@ -27,7 +27,7 @@ def _features(part: pa.RecordBatch, column: str, buckets: int) -> tuple[np.ndarr
     data, offsets = tx.utf8(part.column(column))
     data = tx.LOWER[data]
     start, end, owner = tx.words(data, offsets)
-    one = tx.word_hashes(data, start, end)
+    one = tx.span_hashes(data, start, end)
     two, first = tx.windows(one, owner, 2)
     both = np.concatenate([one, two])
     return (both >> np.uint64(20)).astype(np.int64) % buckets, np.concatenate([owner, owner[first]])
@@ -67,7 +67,7 @@ def weigh(docs: DataFrame, model: RatioModel, text: str = "text", weight: str =
 
         def step(part: pa.RecordBatch) -> list[pa.Array]:
             bucket, owner = _features(part, text, len(table))
-            return [pa.array(np.bincount(owner, weights=table[bucket], minlength=part.num_rows))]
+            return [pa.array(np.bincount(owner, weights=table[bucket], minlength=part.num_rows).astype(np.float64))]
 
         return step
 

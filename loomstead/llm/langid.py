@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from loomstead.llm import text as tx
 
 UNDETERMINED = "und"
+#: N-grams that are hashed at a time, so that a long text takes no more memory than a slice of short ones.
+BLOCK_CHARS = 1 << 19
+#: Languages whose counts one task holds before it hands them on.
+HELD_LANGUAGES = 32
 
 
 @dataclass
@@ -37,32 +41,43 @@ def _code_points(part: pa.RecordBatch, column: str) -> tuple[list[str], np.ndarr
     return texts, np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
 
 
-def hashed_ngrams(points: np.ndarray, offsets: np.ndarray, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text number of each n-gram of ``order`` characters; none crosses texts."""
-    n = len(points) - order + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    total = np.full(n, np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64)), np.uint64)
-    wide = points.astype(np.uint64)
-    for k in range(order):
-        total *= np.uint64(0x100000001B3)
-        total += wide[k : k + n] + np.uint64(1)
-        total ^= total >> np.uint64(29)
-    total *= np.uint64(0xBF58476D1CE4E5B9)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    inside = owner[:n] == owner[order - 1 :]
-    return ((total[inside] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), owner[:n][inside]
-
-
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = 1 << 16, orders: tuple[int, ...] = (2, 3), smoothing: float = 0.1) -> LanguageModel:
+def hashed_ngrams(points: np.ndarray, offsets: np.ndarray, order: int, buckets: int, limit: int = BLOCK_CHARS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and text number of each n-gram of ``order`` characters, ``limit`` at a time; none crosses texts."""
+    for begin in range(0, len(points) - order + 1, limit):
+        n = min(limit, len(points) - order + 1 - begin)
+        wide = points[begin : begin + n + order - 1].astype(np.uint64)
+        total = np.full(n, np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64)), np.uint64)
+        for k in range(order):
+            total *= np.uint64(0x100000001B3)
+            total += wide[k : k + n] + np.uint64(1)
+            total ^= total >> np.uint64(29)
+        total *= np.uint64(0xBF58476D1CE4E5B9)
+        at = np.arange(begin, begin + n)
+        owner = np.searchsorted(offsets, at, "right") - 1
+        inside = at + order <= offsets[owner + 1]
+        yield ((total[inside] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), owner[inside]
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = 1 << 16, orders: tuple[int, ...] = (2, 3), smoothing: float = 0.1, max_languages: int = 128) -> LanguageModel:
     """Count n-grams of every row that has a language and a text; each task sums before Spark does.
 
-    Null languages and null texts are left out. An empty table gives a model without languages.
+    Null languages and null texts are left out. An empty table gives a model without
+    languages. Only the ``max_languages`` most frequent languages are learned (of equally
+    frequent ones the first by name), which bounds the model however dirty the column is.
     """
+    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
+    top = [r["l"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect()]
     schema = "label string, bucket int, n long"
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for name, sums in table.items():
+                used = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(sums[used])], ["label", "bucket", "n"])
+            table.clear()
+
         for part in tx.slices(batches, "t"):
             labels = part.column("l").to_pylist()
             names = sorted(set(labels))
@@ -72,16 +87,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
             for name in names:
                 table.setdefault(name, np.zeros(buckets + 1, np.int64))[buckets] += labels.count(name)
             for order in orders:
-                bucket, owner = hashed_ngrams(points, offsets, order, buckets)
-                sums = np.bincount(of[owner] * buckets + bucket, minlength=len(names) * buckets).reshape(len(names), buckets)
-                for name in names:
-                    table[name][:buckets] += sums[code[name]]
-        for name, sums in table.items():
-            used = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(sums[used])], ["label", "bucket", "n"])
-
-    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    found = rows.mapInArrow(count, schema).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+                for bucket, owner in hashed_ngrams(points, offsets, order, buckets):
+                    for k, name in enumerate(names):
+                        table[name][:buckets] += np.bincount(bucket[of[owner] == k], minlength=buckets)
+            if len(table) > HELD_LANGUAGES:
+                yield from told()
+        yield from told()
+        tx.give_back()
+
+    found = rows.where(F.col("l").isin(top)).mapInArrow(count, schema).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["label"].unique())
     counts = np.zeros((len(languages), buckets + 1))
     counts[found["label"].map({x: i for i, x in enumerate(languages)}).to_numpy(int), found["bucket"].to_numpy(int)] = found["n"].to_numpy(float)
@@ -94,7 +108,9 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str
     """Add the likeliest language and its posterior to every row.
 
     A null or empty text, one without a letter, and any text under a model without
-    languages get ``und`` and 0.0. Equal posteriors go to the first name in order.
+    languages get ``und`` and 0.0. Equal posteriors go to the first name in order. Repeated
+    rows are predicted one by one, an empty table gives an empty one. N-grams of a long text
+    are summed block by block; it takes about ten bytes a character besides.
     Existing columns named like the new ones are replaced; others pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -110,9 +126,9 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str
                 return [pa.array([UNDETERMINED] * n), pa.array(np.zeros(n))]
             total = np.repeat(model.log_prior[:, None], n, 1)
             for order in model.orders:
-                bucket, owner = hashed_ngrams(points, offsets, order, buckets)
-                for k in range(len(model.languages)):
-                    total[k] += np.bincount(owner, weights=model.log_prob[k][bucket], minlength=n)
+                for bucket, owner in hashed_ngrams(points, offsets, order, buckets):
+                    for k in range(len(model.languages)):
+                        total[k] += np.bincount(owner, weights=model.log_prob[k][bucket], minlength=n)
             best = total.argmax(0)
             posterior = 1 / np.exp(total - total.max(0)).sum(0)
             ascii_letter = np.zeros(128, bool)
@@ -131,9 +147,13 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, text: str = "text") -> DataFrame:
-    """Rows whose language is determined with a posterior of at least ``min_score``; columns stay as they are."""
-    tagged = predict(docs, model, text, "__lang", "__score")
-    return tagged.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= min_score)).drop("__lang", "__score")
+    """Rows whose language is determined with a posterior of at least ``min_score``; columns stay as they are.
+
+    Null, empty and letterless texts go, and of an empty table nothing stays.
+    """
+    lang, score = tx.unused(docs, "lang"), tx.unused(docs, "score")
+    tagged = predict(docs, model, text, lang, score)
+    return tagged.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).drop(lang, score)
 
 
 def fold(doc_id: str = "doc_id"):

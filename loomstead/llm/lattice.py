@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomstead.llm import text as tx
 from loomstead.llm.components import components
+from loomstead.llm.groups import Told, by_key
 from loomstead.llm.storage import discard, durable
 
 #: Vectors that one task compares with as many others at a time.
@@ -163,27 +164,55 @@ def _block_pairs(rows: DataFrame, key: str, split_on: str, block: int) -> DataFr
     return dealt.repartition(parts, key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def _links(nodes: DataFrame, spec: LatticeSpec) -> DataFrame:
-    """Links (a, b) that connect what any cell connects: a spanning forest of each cell's exact links."""
+def _cell_groups(nodes: DataFrame, spec: LatticeSpec) -> DataFrame:
+    """Members (gid, node) of each distinct set of vectors that a cell brings together, one of them in its own cell.
+
+    Only names travel. Cells with the same members, in whatever table, are one group.
+    """
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1024):
                 for part in _by_width(batch.slice(begin, 1024), "embedding"):
                     label = tx.mix(part.column("label").to_numpy().astype(np.uint64) + np.uint64(len(part.column("embedding")[0]) << 40))
+                    node = part.column("node").to_numpy()
                     for row, cell, own in cells(_units(part.column("embedding")), spec):
-                        taken = part.take(pa.array(row))
-                        yield pa.RecordBatch.from_arrays([pa.array(tx.mix(cell + label[row]).view(np.int64)), taken.column("node"), pa.array(own), taken.column("embedding")], ["cell", "node", "own", "embedding"])
+                        yield pa.RecordBatch.from_arrays([pa.array(tx.mix(cell + label[row]).view(np.int64)), pa.array(node[row]), pa.array(own.astype(np.int8))], ["cell", "node", "own"])
+        tx.give_back()
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = Told()
+        for whole, (cell, node, own) in by_key(batches):
+            if not whole:
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(node)], ["gid", "node"])
+                continue
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            count = np.diff(np.append(first, len(cell)))
+            gid = tx.mix(np.add.reduceat(tx.mix(node.view(np.uint64)), first) + count.astype(np.uint64)).view(np.int64)
+            some = np.flatnonzero((count > 1) & (np.maximum.reduceat(own, first) > 0))
+            keep = np.zeros(len(first), bool)
+            keep[some] = told.fresh(gid[some])
+            take = np.repeat(keep, count)
+            if take.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gid, count)[take]), pa.array(node[take])], ["gid", "node"])
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = nodes.select("node", "label", "embedding").mapInArrow(hashed, "cell long, node long, own byte")
+    return keyed.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(gather, "gid long, node long").distinct()
+
+
+def _links(nodes: DataFrame, spec: LatticeSpec) -> DataFrame:
+    """Links (a, b) that connect what any cell connects: a spanning forest of each group's exact links."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[int, int]] = set()
-        for group in grouped(batches, ["cell", "i", "j"]):
-            own, mine = group.column("own").to_numpy(), group.column("mine").to_numpy()
-            if group.num_rows < 2 or not own.any():
+        for group in grouped(batches, ["gid", "i", "j"]):
+            mine = group.column("mine").to_numpy()
+            if group.num_rows < 2:
                 continue
             node = group.column("node").to_numpy()
             unit = _units(group.column("embedding").combine_chunks())
-            linked = (unit @ unit.T >= spec.threshold) & (own[:, None] | own[None, :])
+            linked = unit @ unit.T >= spec.threshold
             if mine.min() != mine.max():
                 linked &= mine[:, None] != mine[None, :]
             edges = [(int(min(node[a], node[b])), int(max(node[a], node[b]))) for a, b in spanning(linked)]
@@ -192,9 +221,10 @@ def _links(nodes: DataFrame, spec: LatticeSpec) -> DataFrame:
                 told.update(edges)
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges]), pa.array([e[1] for e in edges])], ["a", "b"])
+        tx.give_back()
 
-    keyed = nodes.select("node", "label", "embedding").mapInArrow(hashed, f"cell long, node long, own boolean, embedding {nodes.schema['embedding'].dataType.simpleString()}")
-    return _block_pairs(keyed, "cell", "node", BLOCK).mapInArrow(compare, "a long, b long").distinct()
+    members = _cell_groups(nodes, spec).join(nodes.select("node", "embedding"), "node")
+    return _block_pairs(members, "gid", "node", BLOCK).mapInArrow(compare, "a long, b long").distinct()
 
 
 def _degrees(nodes: DataFrame, joined: DataFrame, spec: LatticeSpec) -> DataFrame:
@@ -222,7 +252,8 @@ def near_duplicates(rows: DataFrame, spec: LatticeSpec = LatticeSpec(), row_id:
     every table and looks into the neighbouring cells whose border is near. Equal vectors are
     one node with a weight. Vectors that are null, empty, zero or hold null or non-finite
     components, and null labels, link with nothing. Rows repeated under one id are rows of
-    their own; a component of null ids has a null id, and its rows aren't kept.
+    their own; a component of null ids has a null id, and its rows aren't kept. An empty
+    table gives an empty one.
     """
     usable = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     base = rows.select(F.col(row_id).alias("id"), F.col(vector).alias("embedding"), F.col(label).cast("long").alias("label"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomstead.llm import text as tx
 from loomstead.llm.components import components
+from loomstead.llm.groups import KEY_ROWS, Told, by_key
 from loomstead.llm.lattice import grouped
 from loomstead.llm.storage import discard, durable
 
@@ -20,10 +21,12 @@ from loomstead.llm.storage import discard, durable
 CLASS_BITS = 16
 #: Least bits of the parity sketch that bounds an intersection from above.
 LEAST_SKETCH = 256
-#: Bits of the bitmap of sets that any candidate pair names.
-FILTER_BITS = 24
+#: At most so many bits (as a power of two) are in the bitmap of sets that any candidate pair names.
+FILTER_BITS = 27
 #: Members of a group that one task compares at a time.
 BLOCK = 4096
+#: Shingles of the members whose sketches one task holds of each block.
+BLOCK_SKETCHED = 1 << 24
 #: Tokens of undecided members that one task holds of each block.
 BLOCK_TOKENS = 1 << 19
 
@@ -61,7 +64,7 @@ def _shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, int
     data, offsets = tx.utf8(column)
     data = tx.LOWER[data]
     start, end, owner = tx.words(data, offsets)
-    hashes = tx.word_hashes(data, start, end)
+    hashes = tx.span_hashes(data, start, end)
     token, first = tx.windows(hashes, owner, width)
     owners = owner[first]
     count = np.bincount(owner, minlength=len(offsets) - 1)
@@ -216,94 +219,96 @@ def _entries(docs: DataFrame, spec: JoinSpec, frequent, text: str) -> DataFrame:
     return rows.groupBy("sid", "size").agg(F.first("keys").alias("keys"))
 
 
-def _groups(entries: DataFrame) -> DataFrame:
-    """Sets that share a key: rows (gid, sid, size, hub, hub_size) of each distinct group of two or more.
+def _groups(entries: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Sets that share a key: rows (gid, sid, size, hub, hub_size, members) of each distinct group of two or more.
 
-    Groups of the same sets, met under many keys, are one. The hub is the member whose
-    scrambled name is least, so that groups with common members mostly choose the same.
+    By size a key's sets fall apart wherever one is too small to be similar to the next, and
+    each part is a group of its own. Groups of the same sets, met under many keys, are one.
+    The hub is the member whose scrambled name is least, so that groups with common members
+    mostly choose the same. A key too frequent to be held is one group, handed on in parts,
+    whose hub is of its first part.
     """
+    names = ["gid", "sid", "size", "hub", "hub_size", "members"]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gid", "sid", "size", "hub", "hub_size"]
-        held: list[np.ndarray] = []
-        told: set[int] = set()
+    def rows_of(gid, sid, size, hub, hub_size, members) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(gid), pa.array(sid), pa.array(size.astype(np.int32)), pa.array(hub), pa.array(hub_size.astype(np.int32)), pa.array(members.astype(np.int32))], names)
 
-        def emit(rows: np.ndarray) -> pa.RecordBatch | None:
-            key, sid, size = rows
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = Told()
+        going = hub = hub_size = None
+        for whole, (key, sid, size) in by_key(batches):
+            if not whole:
+                if going != key[0]:
+                    least = int(tx.mix(sid.view(np.uint64)).argmin())
+                    going, hub, hub_size = key[0], sid[least], size[least]
+                same = np.ones(len(key), np.int64)
+                yield rows_of(key, sid, size, same * hub, same * hub_size, same * KEY_ROWS)
+                continue
+            order = np.lexsort((size, key))
+            key, sid, size = key[order], sid[order], size[order]
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (100 * size[:-1] < spec.percent * size[1:])))
             count = np.diff(np.append(first, len(key)))
-            many = count > 1
             rank = tx.mix(sid.view(np.uint64))
             gid = tx.mix(np.add.reduceat(tx.mix(rank), first) + count.astype(np.uint64)).view(np.int64)
-            _, once = np.unique(gid, return_index=True)
-            fresh = np.zeros(len(first), bool)
-            fresh[once] = True
-            fresh &= many
-            fresh[fresh] = [g not in told for g in gid[fresh].tolist()]
-            if len(told) > 500_000:
-                told.clear()
-            told.update(gid[fresh].tolist())
-            if not fresh.any():
-                return None
-            least = np.minimum.reduceat(rank, first)
+            some = np.flatnonzero(count > 1)
+            keep = np.zeros(len(first), bool)
+            keep[some] = told.fresh(gid[some])
+            take = np.repeat(keep, count)
+            if not take.any():
+                continue
             group = np.repeat(np.arange(len(first)), count)
-            is_hub = np.flatnonzero(rank == least[group])
+            is_hub = np.flatnonzero(rank == np.minimum.reduceat(rank, first)[group])
             hub_at = np.zeros(len(first), np.int64)
             hub_at[group[is_hub]] = is_hub
-            take = fresh[group]
             at = hub_at[group[take]]
-            return pa.RecordBatch.from_arrays([pa.array(gid[group[take]]), pa.array(sid[take]), pa.array(size[take].astype(np.int32)), pa.array(sid[at]), pa.array(size[at].astype(np.int32))], names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]))
-            if held[0][0, 0] == held[-1][0, -1]:
-                continue
-            rows = np.concatenate(held, axis=1)
-            cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last key may go on
-            held = [rows[:, cut:]]
-            if cut and (out := emit(rows[:, :cut])) is not None:
-                yield out
-        if held and (out := emit(np.concatenate(held, axis=1))) is not None:
-            yield out
+            yield rows_of(gid[group[take]], sid[take], size[take], sid[at], size[at], count[group[take]])
+        tx.give_back()
 
     rows = entries.select(F.explode("keys").alias("key"), "sid", "size")
-    spark = entries.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "gid long, sid long, size int, hub long, hub_size int")
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "gid long, sid long, size int, hub long, hub_size int, members int")
     return found.distinct()
 
 
-def _sets_of(docs: DataFrame, survey: DataFrame, wanted: DataFrame, spec: JoinSpec, text: str, tokens: bool) -> DataFrame:
-    """Sketch, or with ``tokens`` the whole set, of every ``wanted`` name (column sid), made anew from one text of each.
-
-    The survey tells which text, by its hash. A Bloom filter of fixed size over those hashes
-    spares the other texts; what it lets through besides is harmless.
-    """
-    bits = 1 << FILTER_BITS
-    one = survey.where("token_class is null").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("hash").alias("hash"))
-    rows = one.select(F.pmod("hash", F.lit(bits)).cast("int").alias("b")).distinct()
+def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Packed bitmap of the ``hash`` column modulo ``bits``, gathered from a few tasks' bitmaps."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.zeros(bits, np.uint8)
+        own = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            mask[batch.column(0).to_numpy(zero_copy_only=False)] = 1
-        packed = np.packbits(mask)
+            at = np.unique(batch.column(0).to_numpy(zero_copy_only=False))
+            first = np.flatnonzero(np.append(True, at[1:] >> 3 != at[:-1] >> 3)) if len(at) else at
+            if len(at):
+                own[at[first] >> 3] |= np.bitwise_or.reduceat(np.left_shift(1, at & 7).astype(np.uint8), first)
         step = 1 << 16
-        chunks = [(i, packed[i : i + step].tobytes()) for i in range(0, len(packed), step) if packed[i : i + step].any()]
+        chunks = [(i, own[i : i + step].tobytes()) for i in range(0, len(own), step) if own[i : i + step].any()]
         yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in chunks], pa.int32()), pa.array([c[1] for c in chunks], pa.binary())], ["i", "bits"])
 
     packed = np.zeros(bits // 8, np.uint8)
+    rows = hashes.select(F.pmod("hash", F.lit(bits)).cast("long").alias("b"))
     for r in rows.coalesce(4).mapInArrow(gather, "i int, bits binary").toLocalIterator():
         packed[r["i"] : r["i"] + len(r["bits"])] |= np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    return packed
+
+
+def _sets_of(docs: DataFrame, survey: DataFrame, wanted: DataFrame, spec: JoinSpec, text: str, tokens: bool) -> DataFrame:
+    """Sketch, or with ``tokens`` the whole set, of every ``wanted`` name (column sid), made anew from one text of each.
+
+    The survey tells which text, by its hash. A bitmap over those hashes, of sixteen bits for
+    each up to ``FILTER_BITS`` in all, spares most other texts; what it lets through besides
+    is harmless.
+    """
+    one = durable(survey.where("token_class is null").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("hash").alias("hash")), "wanted")
+    bits = 1 << min(FILTER_BITS, max(16, int(16 * one.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(one, bits))
+    discard(one)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.unpackbits(shared.value).astype(bool)
+        packed = shared.value
         for batch in batches:
-            hit = mask[batch.column("hash").to_numpy(zero_copy_only=False) % bits]
-            for part in tx.slices([batch.filter(pa.array(hit))], text):
+            at = batch.column("hash").to_numpy(zero_copy_only=False) % bits
+            hit = (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            for part in tx.slices([batch.filter(pa.array(hit.astype(bool)))], text):
                 sets = shingle_sets(part.column(text), spec.width)
                 keep = np.flatnonzero(sets.size > 0)
                 if not len(keep):
@@ -313,6 +318,7 @@ def _sets_of(docs: DataFrame, survey: DataFrame, wanted: DataFrame, spec: JoinSp
                 else:
                     body = pa.array(parity_sketches(sets, keep), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(sets.sid[keep]), pa.array(sets.size[keep].astype(np.int32)), body], ["sid", "size", "body"])
+        tx.give_back()
 
     found = docs.select(text, F.xxhash64(text).alias("hash")).mapInArrow(run, f"sid long, size int, body {'array<long>' if tokens else 'binary'}")
     return found.groupBy("sid").agg(F.first(F.struct("size", "body")).alias("s")).select("sid", "s.size", F.col("s.body").alias("tokens" if tokens else "sketch"))
@@ -368,7 +374,8 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec,
     comp): those that are in any allowed pair.
     """
     tagged = groups.select("gid", "sid", "size").join(comps, groups["sid"] == comps["node"], "left").select("gid", "sid", "size", F.coalesce("component", "sid").alias("comp"))
-    mixed = tagged.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high").select("gid", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    mixed = tagged.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"), F.sum("size").alias("shingles")).where("low < high")
+    mixed = mixed.select("gid", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SKETCHED)).cast("int").alias("blocks"))
     rows = tagged.join(mixed, "gid").join(sets.select("sid", "sketch"), "sid")
     mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -520,38 +527,48 @@ def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text
     texts about N * N / 2**65 pairs would share a name by chance.
 
     Links are looked for where they can matter. Each set is compared with its groups' hubs,
-    then groups still in several components by spanning forests. Sketches rule most pairs out
-    by an exact bound, whole sets decide the rest. Last, all members that sketches leave
-    undecided are compared by hashed tokens; if a pair so found doesn't hold, which takes a
-    collision of hashes, its groups are compared again by whole tokens, as it may have hidden
-    a link.
+    with the likeliest first, then groups of three or more that are still in several
+    components by spanning forests. Sketches rule most pairs out by an exact bound, whole sets
+    decide the rest. Last, all members that sketches leave undecided are compared by hashed
+    tokens; if a pair so found doesn't hold, which takes a collision of hashes, its groups are
+    compared again by whole tokens, as it may have hidden a link.
     """
     spark = docs.sparkSession
     survey = durable(_survey(docs, spec, text), "survey")
     frequent = spark.sparkContext.broadcast(_frequent_classes(survey))
-    groups = durable(_groups(_entries(docs, spec, frequent, text)), "groups")
+    groups = durable(_groups(_entries(docs, spec, frequent, text), spec), "groups")
     sets = durable(_sets_of(docs, survey, groups.select("sid").distinct(), spec, text, False), "sketches")
 
     near = (100 * F.least("size", "hub_size")) >= (spec.percent * F.greatest("size", "hub_size"))
     stars = groups.where((F.col("sid") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-    best = _bounded(stars, sets, spec).groupBy("b").agg(F.max_by("a", "close").alias("a"))
-    links = _similar(docs, survey, best, spec, text)
-    joined = components(links)
+    close = durable(_bounded(stars, sets, spec), "close")
+    best = durable(close.groupBy("b").agg(F.max_by("a", "close").alias("a")).select("a", "b"), "best")
+    joined = components(_similar(docs, survey, best, spec, text))
 
     def join(more: DataFrame) -> DataFrame:
         return joined if more.isEmpty() else components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    allowed = durable(_apart(groups, sets, joined, spec, True), "allowed")
+    def component_of(side: str) -> DataFrame:
+        return joined.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+
+    others = close.join(best, ["a", "b"], "left_anti").join(component_of("a"), "a", "left").join(component_of("b"), "b", "left")
+    others = others.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    joined = join(_similar(docs, survey, others, spec, text))
+    discard(close)
+    discard(best)
+
+    # pairs with a hub are decided, so groups of two are done
+    more = groups.where("members > 2").select("gid", "sid", "size")
+    allowed = durable(_apart(more, sets, joined, spec, True), "allowed")
     joined = join(_similar(docs, survey, allowed.where("a is not null"), spec, text))
     # coarser components leave no pair in a group that had none before
-    left = groups.join(allowed.where("gid is not null").select("gid").distinct(), "gid", "left_semi")
+    left = more.join(allowed.where("gid is not null").select("gid").distinct(), "gid", "left_semi")
     members = durable(_apart(left, sets, joined, spec, False), "undecided")
     discard(allowed)
     whole = durable(_sets_of(docs, survey, members.select("sid").distinct(), spec, text, True), "sets")
     joined = join(durable(_decided(members, whole, spec), "links"))
-    discard(whole)
-    discard(groups)
-    discard(sets)
+    for done in (whole, groups, sets, members):
+        discard(done)
     return survey.where("token_class is null").select("doc_id", "sid", "size", "hash"), joined
 
 

@@ -99,10 +99,11 @@ class Encoder:
     """Ids of pre-tokens, looked up by hash; only those not yet seen are encoded.
 
     ``encode`` maps a list of distinct pre-tokens to (ids, how many each has). The table holds
-    at most ``limit`` pre-tokens and starts anew beyond that, so memory stays bounded.
+    at most ``limit`` pre-tokens and starts anew beyond that, so memory stays bounded. Two of
+    N pre-tokens share a 64-bit hash with a chance of N * N / 2**65.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], spaced: bool, limit: int = 800_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], spaced: bool, limit: int = 300_000) -> None:
         self.encode, self.spaced, self.limit = encode, spaced, limit
         self._clear()
 
@@ -117,8 +118,7 @@ class Encoder:
         joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         start, end = split(points, offsets, self.spaced)
-        sums = tx.rolling(tx.mix(points.astype(np.uint64) + np.uint64(1)))
-        hashes = tx.mix(tx.span_hash(sums, start, end) + (end - start).astype(np.uint64))
+        hashes = tx.span_hashes(points, start, end)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.key) + len(distinct) > self.limit:
             self._clear()

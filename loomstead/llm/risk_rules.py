@@ -38,11 +38,11 @@ def measure_slice(column: pa.Array) -> dict[str, np.ndarray]:
     """The METRICS of each text."""
     data, offsets = tx.utf8(column)
     n = len(offsets) - 1
-    per_text = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[offsets])
+    per_text = lambda flags: tx.per_text(flags, offsets)
     salt = lambda owner: tx.mix(owner.astype(np.uint64) + np.uint64(1))
     is_word = tx.IS_WORD[data]
     start, end, owner = tx.words(data, offsets)
-    window, first = tx.windows(tx.word_hashes(data, start, end), owner, REPEAT_WINDOW)
+    window, first = tx.windows(tx.span_hashes(data, start, end), owner, REPEAT_WINDOW)
     twice, _ = _repeated(window ^ salt(owner[first]))
     cover = np.zeros(len(start) + 1, np.int64)
     np.add.at(cover, first[twice], 1)
@@ -51,10 +51,10 @@ def measure_slice(column: pa.Array) -> dict[str, np.ndarray]:
 
     line_start, line_end = tx.runs(data != 10, offsets)  # empty lines have no word
     line_of = np.searchsorted(offsets, line_start, "right") - 1
-    word_sums = np.concatenate([[0], np.cumsum(is_word, dtype=np.int64)])
-    worded = word_sums[line_end] > word_sums[line_start]
+    next_word = np.append(start, len(data))[np.searchsorted(end, line_start, "right")]
+    worded = next_word < line_end
     line_start, line_end, line_of = line_start[worded], line_end[worded], line_of[worded]
-    _, again = _repeated(tx.word_hashes(data, line_start, line_end) ^ salt(line_of))
+    _, again = _repeated(tx.span_hashes(data, line_start, line_end) ^ salt(line_of))
     return {
         "n_words": np.bincount(owner, minlength=n),
         "word_chars": per_text(is_word & ((data & 0xC0) != 0x80)),

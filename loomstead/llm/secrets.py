@@ -34,9 +34,20 @@ _IS_HEX[list(b"0123456789abcdef")] = True
 
 @dataclass
 class MarkovRatio:
-    """``log P(next | previous)`` of random strings less that of ordinary ones; 68 x 68 floats."""
+    """``log P(next | previous)`` of random strings less that of ordinary ones; 68 x 68 floats.
+
+    A string counts as random whose sum over its transitions exceeds ``log_odds``.
+    """
 
     table: np.ndarray
+    log_odds: float = 14.0
+
+    def scores(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratio of each span of the alphabet's characters."""
+        first, _ = tx.runs(_CODE[data] > 0, np.array([0, len(data)]))
+        first = np.union1d(first, start)
+        sums = np.concatenate([[0.0], np.cumsum(np.where(_CODE[data] > 0, self.table.ravel()[_transitions(data, first)], 0.0))])
+        return sums[end] - sums[start]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -97,8 +108,8 @@ def labelled_tokens(docs: DataFrame, max_docs: int = 20_000, least: int = 8, tex
     return part.mapInArrow(tokens, "token string, is_secret boolean").unionByName(made)
 
 
-def fit(samples: DataFrame, smoothing: float = 0.5) -> MarkovRatio:
-    """Train both first-order models from labelled samples (token, is_secret); nulls are left out."""
+def _counted(samples: DataFrame) -> DataFrame:
+    """How often each label has each transition: label, i, n."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, _STATES * _STATES), np.int64)
@@ -113,20 +124,62 @@ def fit(samples: DataFrame, smoothing: float = 0.5) -> MarkovRatio:
         label, index = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(index.astype(np.int32)), pa.array(sums[label, index])], ["label", "i", "n"])
 
-    rows = samples.where("token is not null and is_secret is not null").mapInArrow(count, "label int, i int, n long").groupBy("label", "i").agg(F.sum("n").alias("n")).toPandas()
+    return samples.mapInArrow(count, "label int, i int, n long").groupBy("label", "i").agg(F.sum("n").alias("n"))
+
+
+def choose_log_odds(samples: DataFrame, model: MarkovRatio, least: int = 16, false_alarms: float = 1e-4, floor: float = 7.0) -> float:
+    """Least cutoff above which at most ``false_alarms`` of the ordinary samples of ``least`` characters or more score.
+
+    Scores are counted in steps of one half, so a bounded table reaches the driver. The
+    cutoff isn't below ``floor``, odds of a thousand to one, however few the samples are.
+    """
+    spark = samples.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tx.slices(batches, "token"):
+            data, offsets = tx.utf8(part.column("token"))
+            size = np.diff(offsets)
+            odd = np.concatenate([[0], np.cumsum(_CODE[data] == 0)])
+            ok = np.flatnonzero((size >= least) & (odd[offsets[1:]] == odd[offsets[:-1]]))
+            ratio = shared.value.scores(data, offsets[:-1][ok], offsets[1:][ok])
+            yield pa.RecordBatch.from_arrays([pa.array(np.clip(np.ceil(2 * ratio), -2000, 2000).astype(np.int32))], ["step"])
+
+    rows = samples.where("not is_secret and token is not null").select("token").mapInArrow(score, "step int").groupBy("step").agg(F.count("*").alias("n")).collect()
+    allowed, above = int(false_alarms * sum(r["n"] for r in rows)), 0
+    for r in sorted(rows, key=lambda r: -r["step"]):
+        above += r["n"]
+        if above > allowed:
+            return max(floor, r["step"] / 2)
+    return floor
+
+
+def fit(samples: DataFrame, smoothing: float = 0.5, false_alarms: float = 1e-4) -> MarkovRatio:
+    """Train both first-order models from labelled samples (token, is_secret); nulls are left out.
+
+    Four fifths of the samples, by hash of the token, train the models, the others choose the
+    cutoff as :func:`choose_log_odds` tells; a token is never on both sides.
+    """
+    known = samples.where("token is not null and is_secret is not null")
+    held = F.pmod(F.xxhash64("token", F.lit(9)), F.lit(5)) == 0
+    rows = _counted(known.where(~held)).toPandas()
     sums = np.full((2, _STATES * _STATES), smoothing)
     sums[rows["label"].to_numpy(int), rows["i"].to_numpy(int)] += rows["n"].to_numpy(float)
     logs = np.log(sums.reshape(2, _STATES, _STATES))
     logs -= np.log(np.exp(logs).sum(2, keepdims=True))
-    return MarkovRatio(logs[1] - logs[0])
+    model = MarkovRatio(logs[1] - logs[0])
+    model.log_odds = choose_log_odds(known.where(held), model, false_alarms=false_alarms)
+    return model
 
 
-def scan(docs: DataFrame, model: MarkovRatio, text: str = "text", least: int = 16, log_odds: float = 14.0, spans: str = "secrets") -> DataFrame:
+def scan(docs: DataFrame, model: MarkovRatio, text: str = "text", least: int = 16, spans: str = "secrets") -> DataFrame:
     """Add ``spans``: every span as an array of (start, end, kind), by start, then kind.
 
     Positions are code points, the end exclusive. Runs of at least ``least`` characters that
     share nothing with a fixed pattern's span count as ``random`` where their log-likelihood
-    ratio exceeds ``log_odds``, the prior odds against a secret. Null texts have no spans.
+    ratio exceeds the model's ``log_odds``. Null and empty texts have no spans, repeated rows
+    are scanned one by one, an empty table gives an empty one. A text takes about forty bytes
+    a character while it is scanned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
@@ -134,29 +187,32 @@ def scan(docs: DataFrame, model: MarkovRatio, text: str = "text", least: int = 1
     rank = {k: i for i, k in enumerate(KINDS)}
 
     def make():
-        table = shared.value.table.ravel()
+        model = shared.value
 
         def step(part: pa.RecordBatch) -> list[pa.Array]:
             data, offsets = tx.utf8(part.column(text))
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
             found: list[list[tuple[int, int, str]]] = [base_spans(t or "") for t in part.column(text).to_pylist()]
 
-            def place(start, end, kind, clear):
+            def place(start, end, kind):
                 owner = np.searchsorted(offsets, start, "right") - 1
                 first = points[offsets[owner]]
                 for d, s, e in zip(owner.tolist(), (points[start] - first).tolist(), (points[end] - first).tolist(), strict=True):
-                    if not clear or all(e <= x[0] or s >= x[1] for x in found[d]):
-                        found[d].append((s, e, kind))
+                    found[d].append((s, e, kind))
 
             start, end = tx.runs(_IS_HEX[data], offsets)
             long = end - start >= _HEX_MIN
-            place(start[long], end[long], "hex", False)
+            place(start[long], end[long], "hex")
             start, end = _candidates(data, offsets, least)
             if len(start):
-                first, _ = tx.runs(_CODE[data] > 0, offsets)
-                sums = np.concatenate([[0.0], np.cumsum(np.where(_CODE[data] > 0, table[_transitions(data, first)], 0.0))])
-                high = sums[end] - sums[start] > log_odds
-                place(start[high], end[high], "random", True)
+                high = model.scores(data, start, end) > model.log_odds
+                start, end = start[high], end[high]
+            if len(start):
+                # a span's places in the joined texts; how many spans begin before an end, and end before a start
+                place_of = points[offsets]
+                taken = np.array([(place_of[d] + s, place_of[d] + e) for d, x in enumerate(found) for s, e, _ in x], np.int64).reshape(-1, 2)
+                clear = np.searchsorted(np.sort(taken[:, 0]), points[end], "left") == np.searchsorted(np.sort(taken[:, 1]), points[start], "right")
+                place(start[clear], end[clear], "random")
             rows = [[{"start": s, "end": e, "kind": k} for s, e, k in sorted(x, key=lambda x: (x[0], rank[x[2]]))] for x in found]
             return [pa.array(rows, arrow)]
 
@@ -166,17 +222,21 @@ def scan(docs: DataFrame, model: MarkovRatio, text: str = "text", least: int = 1
 
 
 def redact(docs: DataFrame, model: MarkovRatio, text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """Replace every found span (overlapping ones as one) by ``mask``; columns stay as they are."""
+    """Replace every found span (overlapping ones as one) by ``mask``; columns stay as they are.
+
+    Null and empty texts stay as they are, and so does an empty table; repeated rows are masked alike.
+    """
     columns = docs.columns
-    found = scan(docs, model, text, spans="__secrets")
+    spans = tx.unused(docs, "secrets")
+    found = scan(docs, model, text, spans=spans)
 
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in tx.slices(batches, text):
             texts = []
-            for t, spans in zip(part.column(text).to_pylist(), part.column("__secrets").to_pylist(), strict=True):
-                if t is not None and spans:
+            for t, own in zip(part.column(text).to_pylist(), part.column(spans).to_pylist(), strict=True):
+                if t is not None and own:
                     out, done = [], 0
-                    for s in spans:
+                    for s in own:
                         if s["start"] >= done:
                             out += [t[done : s["start"]], mask]
                         done = max(done, s["end"])
@@ -185,6 +245,6 @@ def redact(docs: DataFrame, model: MarkovRatio, text: str = "text", mask: str =
             i = part.schema.get_field_index(text)
             part = part.set_column(i, text, pa.array(texts, part.schema.field(i).type))
             yield part.select(columns)
+        tx.give_back()
 
     return found.mapInArrow(step, docs.schema)
-

@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it. Where the setting is absent (local tests)
-    a temporary folder is made once and kept in the session's settings.
+    ``spark.checkpoint.dir`` names it. Where the setting is absent in a local session
+    a temporary folder is made once and kept in the session's settings; a cluster without
+    the setting is an error, as its machines would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("loomstead.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomstead-")
         spark.conf.set("loomstead.shared.dir", base)
     return base.rstrip("/")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,8 +16,10 @@ from pyspark.sql import types as T
 #: Text bytes that one numpy step handles; a single longer text is its own step.
 SLICE_BYTES = 1 << 20
 
-_ODD = 0x9E3779B97F4A7C15
-_ODD_INVERSE = pow(_ODD, -1, 1 << 64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = np.uint64(0xD6E8FEB86659FD93)
+#: Places in a span whose byte codes are kept in a table; later places are computed.
+_TABLED = 64
 
 #: Word separators: space and 0x09-0x0D.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
@@ -35,39 +40,76 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
+def _codes(symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random-looking 64-bit value of each symbol at each place of a span."""
+    return mix((symbol.astype(np.uint64) + np.uint64(1)) * _ODD + place.astype(np.uint64) * _PLACE)
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+_TABLE = _codes(np.tile(np.arange(256), _TABLED), np.repeat(np.arange(_TABLED), 256))
 
-    def __init__(self) -> None:
-        self._up = self._down = np.ones(1, dtype=np.uint64)
 
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) < n:
-            size = max(n, 2 * len(self._up))
-            up, down = np.full(size, _ODD, np.uint64), np.full(size, _ODD_INVERSE, np.uint64)
-            up[0] = down[0] = 1
-            self._up, self._down = np.cumprod(up), np.cumprod(down)
-        return self._up[:n], self._down[:n]
+def span_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = SLICE_BYTES) -> np.ndarray:
+    """64-bit hash of each span: a sum modulo 2**64 over (symbol, place) values that are mixed one by one.
 
+    Whatever pattern two different spans follow, their sums agree with a chance of 2**-64, as
+    no value is a multiple of another. Work is done for ``limit`` symbols at a time, which
+    may end inside a span, so a long text takes no more memory here than a short one.
+    """
+    size = end - start
+    total = np.zeros(len(start), np.uint64)
+    used = np.flatnonzero(size > 0)
+    begin = np.cumsum(size[used]) - size[used]
+    shift = start[used] - begin
+    last = begin + size[used]
+    flat = int(last[-1]) if len(used) else 0
+    plain = symbols.dtype == np.uint8 or not len(symbols) or int(symbols.max()) < 256
+    for low in range(0, flat, limit):
+        high = min(low + limit, flat)
+        a, b = int(np.searchsorted(begin, low, "right")) - 1, int(np.searchsorted(begin, high, "left"))
+        first = np.maximum(begin[a:b], low)
+        count = np.minimum(last[a:b], high) - first
+        at = np.arange(low, high)
+        symbol = symbols[at + np.repeat(shift[a:b], count)]
+        place = at - np.repeat(begin[a:b], count)
+        value = _TABLE[np.minimum(place, _TABLED - 1) * 256 + (symbol if plain else np.minimum(symbol, 255))]
+        if not plain or (size[used[a:b]] > _TABLED).any():
+            rest = np.flatnonzero((place >= _TABLED) | (symbol > 255))
+            value[rest] = _codes(symbol[rest], place[rest])
+        total[used[a:b]] += np.add.reduceat(value, first - low)
+    return mix(total + size.astype(np.uint64))
+
+
+def prefix_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """:func:`span_hashes` of the first 1, 2, ... bytes from each start, up to the largest ``size`` (at most 64): rows by columns.
+
+    What stands beyond a row's own size is of no use.
+    """
+    places = np.arange(min(int(size.max(initial=0)), _TABLED))
+    value = _TABLE[places * 256 + data[np.minimum(start[:, None] + places, len(data) - 1)]]
+    return mix(np.cumsum(value, axis=1) + (places + 1).astype(np.uint64))
 
-POWERS = Powers()
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Name of two strings in a row from the names of both."""
+    return mix(mix(a) * _ODD + b)
 
-def rolling(codes: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash; :func:`span_hash` reads any span from them."""
-    up, _ = POWERS(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum(codes * up[: len(codes)], out=sums[1:])
-    return sums
 
+def gram_names(data: np.ndarray, levels: int) -> np.ndarray:
+    """Name of the ``8 * 2 ** levels`` bytes from each place on, by doubling: first of 8 bytes, which are exact, then of pairs.
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span, the same wherever equal content stands."""
-    _, down = POWERS(len(sums))
-    return (sums[end] - sums[start]) * down[start]
+    One name a place at which so many bytes stand; strings may cross from a text into the next.
+    """
+    wide = data.astype(np.uint64)
+    for k in (1, 2, 4):
+        if len(wide) <= k:
+            return np.zeros(0, np.uint64)
+        wide = wide[:-k] | (wide[k:] << np.uint64(8 * k))
+    for level in range(levels):
+        k = 8 << level
+        if len(wide) <= k:
+            return np.zeros(0, np.uint64)
+        wide = joined(wide[:-k], wide[k:])
+    return wide
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -114,8 +156,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix(span_hash(rolling(BYTE_CODES[data]), start, end) + (end - start).astype(np.uint64))
+def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of the flags are set in each text."""
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    counts = np.zeros(len(offsets) - 1, np.int64)
+    if len(full):
+        counts[full] = np.add.reduceat(flags.view(np.uint8), offsets[full], dtype=np.int64)
+    return counts
 
 
 def windows(hashes: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,14 +170,32 @@ def windows(hashes: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarr
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, _ = POWERS(width + 1)
-    total = np.zeros(n, np.uint64)
+    total = np.full(n, np.uint64(width))
     for k in range(width):
-        total += hashes[k : k + n] * up[k + 1]
+        total ^= total >> np.uint64(29)
+        total *= _ODD
+        total += hashes[k : k + n]
     first = np.flatnonzero(owner[:n] == owner[width - 1 :])
     return mix(total[first]), first
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as Python workers are reused by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``__name`` that the table doesn't have, whatever its letters' case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def append_columns(
     df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], text: str = "text"
 ) -> DataFrame:
@@ -144,8 +209,12 @@ def append_columns(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for part in slices(batches, text):
-            new = step(part)
-            yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *[f.name for f in fields]])
+        try:
+            for part in slices(batches, text):
+                new = step(part)
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *[f.name for f in fields]])
+        finally:
+            del step
+            give_back()
 
     return df.mapInArrow(run, schema)

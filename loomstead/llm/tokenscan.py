@@ -44,6 +44,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         finally:
             if out is not None:
                 out.close()
+            del encoder
+            tx.give_back()
 
     own = docs.select(F.col(row_id).alias("id"), F.col(text).alias("t"))
     return durable(own.mapInArrow(run, f"file string, ordinal long, `{row_id}` {kind}"), "token-manifest")
@@ -85,16 +87,18 @@ def count_tokens(spark: SparkSession, files: DataFrame, end_id: int, dtype: str
     blocks = sized.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / block_tokens))).alias("block"), "tokens")
     found = durable(blocks.repartition(parts, "file", "block").mapInArrow(search, "file string, block long, tokens long, ends array<long>"), "separators")
 
+    # the prefix scan needs only a block's number of separators and its last one
+    sums = found.select("file", "block", "tokens", F.size("ends").alias("n"), F.expr("try_element_at(ends, -1)").alias("last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.expr("ends[size(ends) - 1]")
-    placed = found.select(
+    scanned = sums.select(
         "file",
-        "ends",
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).cast("long").alias("base"),
-        (F.coalesce(F.max(F.when(F.size("ends") > 0, last)).over(before), F.lit(-1)) + 1).alias("carry"),
+        "block",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"),
+        (F.coalesce(F.max("last").over(before), F.lit(-1)) + 1).alias("carry"),
     )
+    placed = found.join(scanned, ["file", "block"])
     start = F.expr("if(at = 0, carry, ends[at - 1] + 1)")
     whole = placed.select("file", "ends", "base", "carry", F.posexplode("ends").alias("at", "end")).select("file", (F.col("base") + F.col("at")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), F.lit(True).alias("terminated"))
-    tail = found.groupBy("file").agg(F.sum(F.size("ends")).cast("long").alias("ordinal"), (F.coalesce(F.max(F.when(F.size("ends") > 0, last)), F.lit(-1)) + 1).alias("start"), F.max("tokens").alias("tokens"))
+    tail = sums.groupBy("file").agg(F.sum("n").cast("long").alias("ordinal"), (F.coalesce(F.max("last"), F.lit(-1)) + 1).alias("start"), F.max("tokens").alias("tokens"))
     tail = tail.where("tokens > start").select("file", "ordinal", "start", (F.col("tokens") - F.col("start")).alias("n_tokens"), F.lit(False).alias("terminated"))
     return whole.unionByName(tail)
