@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.llm import text as tx
+from loomstead.llm.bitmap import bitmap, in_bitmap
 from loomstead.llm.components import components
 from loomstead.llm.groups import KEY_ROWS, Told, by_key
 from loomstead.llm.lattice import grouped
@@ -270,27 +271,6 @@ def _groups(entries: DataFrame, spec: JoinSpec) -> DataFrame:
     return found.distinct()
 
 
-def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Packed bitmap of the ``hash`` column modulo ``bits``, gathered from a few tasks' bitmaps."""
-
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            at = np.unique(batch.column(0).to_numpy(zero_copy_only=False))
-            first = np.flatnonzero(np.append(True, at[1:] >> 3 != at[:-1] >> 3)) if len(at) else at
-            if len(at):
-                own[at[first] >> 3] |= np.bitwise_or.reduceat(np.left_shift(1, at & 7).astype(np.uint8), first)
-        step = 1 << 16
-        chunks = [(i, own[i : i + step].tobytes()) for i in range(0, len(own), step) if own[i : i + step].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in chunks], pa.int32()), pa.array([c[1] for c in chunks], pa.binary())], ["i", "bits"])
-
-    packed = np.zeros(bits // 8, np.uint8)
-    rows = hashes.select(F.pmod("hash", F.lit(bits)).cast("long").alias("b"))
-    for r in rows.coalesce(4).mapInArrow(gather, "i int, bits binary").toLocalIterator():
-        packed[r["i"] : r["i"] + len(r["bits"])] |= np.frombuffer(r["bits"], np.uint8)
-    return packed
-
-
 def _sets_of(docs: DataFrame, survey: DataFrame, wanted: DataFrame, spec: JoinSpec, text: str, tokens: bool) -> DataFrame:
     """Sketch, or with ``tokens`` the whole set, of every ``wanted`` name (column sid), made anew from one text of each.
 
@@ -300,15 +280,14 @@ def _sets_of(docs: DataFrame, survey: DataFrame, wanted: DataFrame, spec: JoinSp
     """
     one = durable(survey.where("token_class is null").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("hash").alias("hash")), "wanted")
     bits = 1 << min(FILTER_BITS, max(16, int(16 * one.count()).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(one, bits))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(one, bits))
     discard(one)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = shared.value
         for batch in batches:
-            at = batch.column("hash").to_numpy(zero_copy_only=False) % bits
-            hit = (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            for part in tx.slices([batch.filter(pa.array(hit.astype(bool)))], text):
+            hit = in_bitmap(packed, batch.column("hash").to_numpy(zero_copy_only=False), bits)
+            for part in tx.slices([batch.filter(pa.array(hit))], text):
                 sets = shingle_sets(part.column(text), spec.width)
                 keep = np.flatnonzero(sets.size > 0)
                 if not len(keep):

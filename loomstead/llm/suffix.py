@@ -1,4 +1,9 @@
-"""Removal of repeated substrings by hash ranks of sampled positions and range splitting, not by prefix doubling."""
+"""Removal of repeated substrings: prefix doubling over positions that content samples, then exact extents.
+
+Of the positions of a text those are sampled whose bytes hash to the least value among any
+``reach`` neighbours. Equal strings of ``length`` bytes have a sampled position at the same
+place, with ``core`` bytes after it in the string; so only sampled positions need ranks.
+"""
 
 from __future__ import annotations
 
@@ -15,24 +20,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstead.llm import text as tx
-from loomstead.llm.storage import durable
+from loomstead.llm.bitmap import bitmap, in_bitmap
+from loomstead.llm.storage import discard, durable
 
 #: Bits of the bitmap of texts that still have candidates.
-FILTER_BITS = 24
+FILTER_BITS = 26
+FACTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 _EDGE = np.uint64((1 << 64) - 1)
 
 
 @dataclass(frozen=True)
 class RepeatSpec:
-    """Length of a repeat, of the first ranked prefix's half, and of the strings that choose positions.
-
-    Of any ``reach`` neighbouring positions the one with the least hashed ``gram`` is sampled,
-    so equal strings of ``length`` bytes have a sampled position at the same place in both,
-    with at least ``length - reach`` bytes after it inside the string.
-    """
+    """Length of a repeat in bytes, 128 to 4096."""
 
     length: int = 400
-    gram: int = 16
+
+    def __post_init__(self):
+        if not 128 <= self.length <= 4096:
+            raise ValueError("repeats are of 128 to 4096 bytes")
 
     @property
     def reach(self) -> int:
@@ -40,7 +45,18 @@ class RepeatSpec:
 
     @property
     def core(self) -> int:
-        return self.length - self.reach
+        """Bytes from a position on that each of its strings covers; a multiple of four."""
+        return (self.length - self.reach) // 4 * 4
+
+    @property
+    def block(self) -> int:
+        """Bytes of the strings that are ranked first; ranks of pairs at this offset and twice it make the core's."""
+        return self.core // 4
+
+    @property
+    def level(self) -> int:
+        """Doublings from eight bytes to the unit that a block is covered with."""
+        return (self.block // 8).bit_length() - 1
 
     @property
     def steps(self) -> list[int]:
@@ -51,23 +67,20 @@ class RepeatSpec:
         return sizes[::-1]
 
 
-def sample(data: np.ndarray, offsets: np.ndarray, spec: RepeatSpec) -> tuple[np.ndarray, ...]:
+def sample(grams: np.ndarray, offsets: np.ndarray, spec: RepeatSpec) -> tuple[np.ndarray, ...]:
     """Sampled positions: row, byte position in the slice, and the offsets they answer for.
 
-    The string that starts ``d`` bytes before a position is its own for ``low <= d <= high``;
-    every string of ``spec.length`` bytes inside a text is exactly one position's own, and
-    equal strings have their positions at equal offsets.
+    ``grams`` names the 16 bytes from each place on. The string that starts ``d`` bytes before
+    a position is its own for ``low <= d <= high``; every string of ``spec.length`` bytes
+    inside a text is exactly one position's own, and equal strings have their positions at
+    equal offsets.
     """
-    n = len(data)
     starts = np.concatenate([np.zeros(0, np.int64), *[np.arange(s, e - spec.length + 1) for s, e in zip(offsets[:-1], offsets[1:], strict=True) if e - s >= spec.length]])
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    sums = tx.rolling(tx.BYTE_CODES[data])
-    at = np.arange(n - spec.gram + 1)
-    value = tx.mix(tx.span_hash(sums, at, at + spec.gram))
-    bits = np.uint64(max(1, int(n).bit_length()))
-    value = (value >> bits << bits) | at.astype(np.uint64)
+    bits = np.uint64(int(offsets[-1]).bit_length())
+    value = (grams >> bits << bits) | np.arange(len(grams)).astype(np.uint64)
     size = spec.reach
     padded = np.full(-(-len(value) // size) * size + size, _EDGE)
     padded[: len(value)] = value
@@ -83,6 +96,11 @@ def sample(data: np.ndarray, offsets: np.ndarray, spec: RepeatSpec) -> tuple[np.
     return row[first], where, where - starts[last], where - starts[first]
 
 
+def _blocks(names: tx.SpanNames, where: np.ndarray, spec: RepeatSpec, begin: int) -> list[np.ndarray]:
+    """Names of the two blocks that stand ``begin`` blocks after each position."""
+    return [names(where + k * spec.block, where + (k + 1) * spec.block).view(np.int64) for k in (begin, begin + 1)]
+
+
 def _digests(part: pa.RecordBatch, column: str) -> tuple[np.ndarray, list[str]]:
     """Name (64 bits) and hexadecimal SHA-256 of each text; equal texts have equal names."""
     found = [hashlib.sha256(t or b"").digest() for t in pc.fill_null(part.column(column), "").cast(pa.binary()).to_pylist()]
@@ -90,33 +108,57 @@ def _digests(part: pa.RecordBatch, column: str) -> tuple[np.ndarray, list[str]]:
 
 
 def _survey(docs: DataFrame, spec: RepeatSpec, text: str) -> DataFrame:
-    """Rows of documents (doc_id, name, n_bytes, sha256), and of positions (name, pos, rank).
+    """Rows of documents (doc_id, name, n_bytes, sha256), and of sampled positions (name, pos, one, two).
 
-    A position's first rank names the ``core / 2`` bytes from it on; it is made of the ranks
-    of that string's two halves.
+    ``one`` and ``two`` name a position's first two blocks.
     """
-    names = ["doc_id", "name", "n_bytes", "sha256", "pos", "rank"]
-    half = spec.core // 4
+    names = ["doc_id", "name", "n_bytes", "sha256", "pos", "one", "two"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, text):
             name, digest = _digests(part, text)
             data, offsets = tx.utf8(part.column(text))
             n = part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(name), pa.array(np.diff(offsets)), pa.array(digest), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
-            row, where, _, _ = sample(data, offsets, spec)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(name), pa.array(np.diff(offsets)), pa.array(digest), *[pa.nulls(n, pa.int64())] * 3], names)
+            levels = tx.gram_names(data, max(1, spec.level))
+            row, where, _, _ = sample(levels[1], offsets, spec)
             if len(row):
-                sums = tx.rolling(tx.BYTE_CODES[data])
-                rank = _pair(tx.span_hash(sums, where, where + half), tx.span_hash(sums, where + half, where + 2 * half))
+                one, two = _blocks(tx.SpanNames(levels[spec.level], spec.level), where, spec, 0)
                 n = len(row)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(name[row]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(where - offsets[row]), pa.array(rank.view(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(name[row]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(where - offsets[row]), pa.array(one), pa.array(two)], names)
+        tx.give_back()
+
+    return docs.mapInArrow(run, "doc_id long, name long, n_bytes long, sha256 string, pos long, one long, two long")
+
+
+def _rerank(positions: DataFrame, left: str, right: str, rank: str) -> DataFrame:
+    """One round of doubling: rank the pairs (``left``, ``right``) that stand at two positions; other positions go.
 
-    return docs.mapInArrow(run, "doc_id long, name long, n_bytes long, sha256 string, pos long, rank long")
+    Pairs are counted before they are shuffled, sorted by both ranks and numbered in that
+    order: a partition's first number is the sum of what the ones before it hold. Positions
+    get their pair's number by a join, which Spark splits where a pair is very common.
+    """
+    at = F.xxhash64("name", "pos")
+    shared = positions.groupBy(left, right).agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a <> z").select(left, right)
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        task, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, task, np.int32)), pa.array(np.arange(done, done + n))], [left, right, "task", "nth"])
+            done += n
 
-def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Rank of a string from the ranks of its halves."""
-    return tx.mix(tx.mix(first) * np.uint64(0x9E3779B97F4A7C15) + second)
+    ordered = durable(shared.sort(left, right).mapInArrow(number, f"{left} long, {right} long, task int, nth long"), "pairs")
+    held = sorted((r["task"], r["n"]) for r in ordered.groupBy("task").agg(F.count("*").alias("n")).collect())
+    base = np.cumsum([0, *[n for _, n in held]])
+    bases = positions.sparkSession.createDataFrame([(t, int(b)) for (t, _), b in zip(held, base, strict=False)], "task int, base long")
+    ranked = durable(ordered.join(F.broadcast(bases), "task").select(left, right, (F.col("base") + F.col("nth")).alias(rank)), "ranks")
+    discard(ordered)
+    kept = durable(positions.join(ranked, [left, right]).drop(left, right), "positions")
+    discard(ranked)
+    return kept
 
 
 def _candidates(docs: DataFrame, wanted: DataFrame, spec: RepeatSpec, text: str) -> str:
@@ -126,29 +168,18 @@ def _candidates(docs: DataFrame, wanted: DataFrame, spec: RepeatSpec, text: str)
     """
     spark = docs.sparkSession
     bits = 1 << FILTER_BITS
-    packed = np.zeros(bits // 8, np.uint8)
-
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.zeros(bits, np.uint8)
-        for batch in batches:
-            mask[batch.column(0).to_numpy(zero_copy_only=False)] = 1
-        own = np.packbits(mask)
-        step = 1 << 16
-        chunks = [(i, own[i : i + step].tobytes()) for i in range(0, len(own), step) if own[i : i + step].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in chunks], pa.int32()), pa.array([c[1] for c in chunks], pa.binary())], ["i", "bits"])
-
-    for r in wanted.select(F.pmod("name", F.lit(bits)).cast("int").alias("b")).distinct().coalesce(4).mapInArrow(gather, "i int, bits binary").toLocalIterator():
-        packed[r["i"] : r["i"] + len(r["bits"])] |= np.frombuffer(r["bits"], np.uint8)
+    packed = bitmap(wanted.select(F.col("name").alias("hash")), bits)
     shared = spark.sparkContext.broadcast(packed)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.unpackbits(shared.value).astype(bool)
+        mask = shared.value
         told: set[int] = set()
         for part in tx.slices(batches, "body"):
             name, _ = _digests(part, "body")
-            keep = [i for i in np.flatnonzero(mask[name % bits]).tolist() if name[i] not in told and (len(told) > 1_000_000 or not told.add(name[i]))]
+            keep = [i for i in np.flatnonzero(in_bitmap(mask, name, bits)).tolist() if name[i] not in told and (len(told) > 1_000_000 or not told.add(name[i]))]
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(name[keep]), part.column("body").take(pa.array(keep)).cast(pa.binary())], ["name", "body"])
+        tx.give_back()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bodies = docs.select(F.col(text).alias("body")).where(F.col("body").isNotNull()).mapInArrow(run, "name long, body binary")
@@ -161,14 +192,14 @@ def _candidates(docs: DataFrame, wanted: DataFrame, spec: RepeatSpec, text: str)
 _CELLS = "name long, pos long, low int, size int, open boolean, own long, core long"
 
 
-def _rank_cells(bodies: DataFrame, cells: DataFrame, spec: RepeatSpec, own_ranges: bool) -> DataFrame:
-    """Rank the strings of each cell: offsets ``low .. low + size - 1`` before a position.
+def _name_cells(bodies: DataFrame, cells: DataFrame, spec: RepeatSpec) -> DataFrame:
+    """Name the strings of each cell: offsets ``low .. low + size - 1`` before a position.
 
     ``own`` names the bytes that all the cell's strings cover together (null where they leave
-    the text), ``core`` the bytes that each of them covers. Equal strings' positions may have
-    different ``own_ranges``; the core is then what every string of a position covers.
+    the text), ``core`` the bytes that each of them covers.
     """
     state = cells.groupBy("name").agg(F.collect_list(F.struct("pos", "low", "size", "open")).alias("cells"))
+    level = min(4, ((spec.length - spec.reach) // 8).bit_length() - 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "body"):
@@ -177,36 +208,40 @@ def _rank_cells(bodies: DataFrame, cells: DataFrame, spec: RepeatSpec, own_range
             flat = lists.flatten()
             row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
             pos, low, size = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
-            sums = tx.rolling(tx.BYTE_CODES[data])
+            names = tx.SpanNames(tx.gram_names(data, level)[level], level)
             here = pos + offsets[row]
             start, end = here - low - size + 1, here - low + spec.length
-            core_start, core_end = (here, here + spec.core) if own_ranges else (here - low, here - low - size + 1 + spec.length)
+            core_start, core_end = here - low, here - low - size + 1 + spec.length
             ok = (core_start >= offsets[row]) & (core_end <= offsets[row + 1])
             whole = (start >= offsets[row]) & (end <= offsets[row + 1])
             start, end = np.where(whole, start, here), np.where(whole, end, here)
             core_start, core_end = np.where(ok, core_start, here), np.where(ok, core_end, here)
-            tag = low * 4096 + size
-            middle = (core_start + core_end) // 2
-            own = _pair(tx.span_hash(sums, start, end), tag.astype(np.uint64)).view(np.int64)
-            core = _pair(_pair(tx.span_hash(sums, core_start, middle), tx.span_hash(sums, middle, core_end)), (tag * (not own_ranges)).astype(np.uint64)).view(np.int64)
+            tag = tx.mix(low * 8192 + size)
+            own = tx.joined(names(start, end), tag).view(np.int64)
+            core = tx.joined(names(core_start, core_end), tag).view(np.int64)
             name = part.column("name").to_numpy()[row]
             columns = [pa.array(name), pa.array(pos), pa.array(low.astype(np.int32)), pa.array(size.astype(np.int32)), flat.field(3), pa.array(own, mask=~whole), pa.array(core)]
             yield pa.RecordBatch.from_arrays(columns, ["name", "pos", "low", "size", "open", "own", "core"]).filter(pa.array(ok))
+        tx.give_back()
 
     return bodies.join(state, "name").select("name", "body", "cells").mapInArrow(run, _CELLS)
 
 
-def _rerank(ranked: DataFrame) -> DataFrame:
+def _told_apart(named: DataFrame) -> DataFrame:
     """Keep cells whose core another position shares, while one of the group is open.
 
     Adds ``again``: the cell's own bytes occur at two positions. Of positions with the same
-    own bytes one goes on, for others to match.
+    own bytes one goes on, for others to match. Both counts are tables of their own, so that
+    Spark can split the joins with them where a core is very common.
     """
     at = F.struct("name", "pos")
-    cores = ranked.groupBy("core").agg(F.min(at).alias("a"), F.max(at).alias("z"), F.max("open").alias("any_open")).where("a < z and any_open").select("core")
-    owns = ranked.where("own is not null").groupBy("own").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a < z").select("own", "a")
-    kept = ranked.join(cores, "core", "left_semi").join(owns, "own", "left")
-    return kept.withColumn("again", F.col("a").isNotNull()).withColumn("first", F.coalesce(F.col("a") == at, F.lit(True))).drop("a")
+    cores = durable(named.groupBy("core").agg(F.min(at).alias("a"), F.max(at).alias("z"), F.max("open").alias("any_open")).where("a < z and any_open").select("core"), "cores")
+    owns = durable(named.where("own is not null").groupBy("own").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a < z").select("own", "a"), "owns")
+    kept = named.join(cores, "core", "left_semi").join(owns, "own", "left")
+    found = durable(kept.withColumn("again", F.col("a").isNotNull()).withColumn("first", F.coalesce(F.col("a") == at, F.lit(True))).drop("a"), "state")
+    discard(cores)
+    discard(owns)
+    return found
 
 
 def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str = "text") -> tuple[DataFrame, DataFrame, str]:
@@ -215,35 +250,64 @@ def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str =
     Returns the documents (doc_id, name, n_bytes, sha256, copies), the spans (name, start, end)
     of distinct texts, which may overlap, and the bucketed table of the texts that have any.
 
-    Positions are sampled by content. Their ranks are hashes of ``core / 2`` bytes
-    and then of ``core``, made anew from the texts; each round keeps the positions whose rank another one shares. Past that, the
-    offsets that a position answers for are told apart in ranges of falling size: a range whose
-    bytes all occur elsewhere together is repeated, one whose common bytes don't isn't, and
-    the rest is split. Ranks are 64-bit names of the strings (two different strings among N
-    share one with a chance of about N * N / 2**65). Whole copies are one text throughout.
+    Prefix doubling ranks the strings that begin at sampled positions. A round sorts the pairs
+    of each position's rank and that of the position one rank's length further on, numbers
+    them, and drops the positions whose pair is unique: blocks make ranks of two blocks, and
+    those, at twice the offset, ranks of the core. Past that threshold an exact check
+    follows: the offsets that a position answers for are told apart in ranges of falling size;
+    a range whose bytes all occur elsewhere together is repeated, one whose common bytes don't
+    isn't, and the rest is split. Blocks and ranges are compared by 64-bit names (two
+    different strings among N share one with a chance of about N * N / 2**65). Whole copies
+    are one text throughout.
     """
-    survey = durable(_survey(docs.select("doc_id", text), spec, text), "positions")
-    rows = survey.where("rank is null").select("doc_id", "name", "n_bytes", "sha256")
-    copies = rows.where(F.col("n_bytes") >= spec.length).groupBy("name").agg(F.count("*").alias("copies")).where("copies > 1")
-    positions = survey.where("rank is not null").select("name", "pos", "rank")
-    at = F.struct("name", "pos")
-    shared = positions.groupBy("rank").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a < z").select("rank")
-    live = durable(positions.join(shared, "rank", "left_semi").select("name", "pos").distinct(), "live")
+    survey = durable(_survey(docs.select(F.col("doc_id").cast("long"), text), spec, text), "survey")
+    rows = survey.where("one is null").select("doc_id", "name", "n_bytes", "sha256")
+    copies = durable(rows.where(F.col("n_bytes") >= spec.length).groupBy("name").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    fronts = _rerank(survey.where("one is not null").select("name", "pos", "one", "two"), "one", "two", "front")
+    live = durable(fronts.distinct(), "live")
+    discard(fronts)
     table = _candidates(docs, live.select("name").distinct(), spec, text)
     spark = docs.sparkSession
-    bodies = spark.table(table)
-    whole = copies.select("name", F.lit(True).alias("copied"))
-
+    try:
+        bodies = spark.table(table)
+        halves = live.join(_own_ranges(bodies, spec), ["name", "pos"])
+        backs = _rerank(halves, "three", "four", "back")
+        discard(live)
+        cores = _rerank(backs, "front", "back", "core")
+        discard(backs)
+        whole = copies.select("name", F.lit(True).alias("copied"))
+        ranges = durable(cores.join(whole, "name", "left").select("name", "pos", "low", "high", F.col("copied").isNull().alias("open")), "ranges")
+        discard(cores)
+        return rows.join(copies, "name", "left"), _extents(bodies, ranges, spec), table
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        raise
+
+
+def _extents(bodies: DataFrame, ranges: DataFrame, spec: RepeatSpec) -> DataFrame:
+    """Spans (name, start, end) of the repeated strings that the positions in ``ranges`` answer for."""
     # the first range is a position's own offsets, the cells after it lie on a common grid
-    own = _own_ranges(bodies, spec)
-    first = live.join(own, ["name", "pos"]).join(whole, "name", "left").select("name", "pos", "low", "high", F.col("copied").isNull().alias("open"))
-    ranges = durable(first, "ranges")
     cells = ranges.select("name", "pos", "low", (F.col("high") - F.col("low") + 1).cast("int").alias("size"), "open")
-    spans = []
+    found = None
+    last = None
     for turn, size in enumerate([*spec.steps, 0]):
-        state = durable(_rerank(durable(_rank_cells(bodies, cells, spec, turn == 0), "ranked")), "state")
-        spans.append(state.where("open and again").select("name", (F.col("pos") - F.col("low") - F.col("size") + 1).alias("start"), (F.col("pos") - F.col("low") + spec.length).alias("end")))
+        named = durable(_name_cells(bodies, cells, spec), "cells")
+        if turn == 0:  # ranges of one core may differ, so cores of ranges don't rule anything out
+            named = named.withColumn("core", F.lit(0).cast("long"))
+            owns = named.where("own is not null").groupBy("own").agg(F.min(F.struct("name", "pos")).alias("a"), F.max(F.struct("name", "pos")).alias("z")).where("a < z").select("own", "a")
+            owns = durable(owns, "owns")
+            at = F.struct("name", "pos")
+            state = durable(named.join(owns, "own", "left").withColumn("again", F.col("a").isNotNull()).withColumn("first", F.coalesce(F.col("a") == at, F.lit(True))).drop("a"), "state")
+            discard(owns)
+        else:
+            state = _told_apart(named)
+        discard(named)
+        if last is not None:
+            discard(last)
+        spans = durable(state.where("open and again").select("name", (F.col("pos") - F.col("low") - F.col("size") + 1).alias("start"), (F.col("pos") - F.col("low") + spec.length).alias("end")), "spans")
+        found = spans if found is None else found.unionByName(spans)
         if not size:
+            discard(state)
             break
         going = state.where("not again or first").withColumn("open", F.expr("open and not again"))
         going = going.join(ranges.select("name", "pos", F.col("low").alias("from"), F.col("high").alias("to")), ["name", "pos"])
@@ -251,23 +315,25 @@ def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str =
         end = F.least(F.col("low") + F.col("size") - 1, F.col("to"))
         steps = F.sequence((F.floor(begin / size) * size).cast("int"), end.cast("int"), F.lit(size))
         cells = going.select("name", "pos", F.explode(steps).alias("low"), F.lit(size).alias("size"), "open")
-    found = spans[0]
-    for more in spans[1:]:
-        found = found.unionByName(more)
-    return rows.join(copies, "name", "left"), found, table
+        last = state
+    return found
 
 
 def _own_ranges(bodies: DataFrame, spec: RepeatSpec) -> DataFrame:
-    """Every sampled position of the texts with the offsets it answers for: name, pos, low, high."""
+    """Every sampled position of the texts with the offsets it answers for and its blocks three and four."""
+    names = ["name", "pos", "low", "high", "three", "four"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "body"):
             data, offsets = tx.utf8(part.column("body").cast(pa.string()))
-            row, where, low, high = sample(data, offsets, spec)
+            levels = tx.gram_names(data, max(1, spec.level))
+            row, where, low, high = sample(levels[1], offsets, spec)
+            three, four = _blocks(tx.SpanNames(levels[spec.level], spec.level), where, spec, 2)
             name = part.column("name").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(where - offsets[row]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["name", "pos", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(where - offsets[row]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(three), pa.array(four)], names)
+        tx.give_back()
 
-    return bodies.mapInArrow(run, "name long, pos long, low int, high int")
+    return bodies.mapInArrow(run, "name long, pos long, low int, high int, three long, four long")
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,55 +363,56 @@ def _digest_kept(bodies: DataFrame, spans: DataFrame) -> DataFrame:
     return bodies.join(lists, "name").select("name", "body", "spans").mapInArrow(run, "name long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def digest_removed(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str = "text") -> DataFrame:
-    """What removing every repeated string leaves: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
-
-    A byte goes if it is in a string of ``spec.length`` bytes that also starts anywhere else.
-    Null texts count as empty; rows repeated under one id are documents of their own.
-    """
-    rows, spans, table = repeated_spans(docs, spec, text)
-    cut = _digest_kept(docs.sparkSession.table(table), spans).drop("kept")
-    out = rows.join(cut, "name", "left")
-    whole = F.col("copies").isNotNull()
-    nothing = hashlib.sha256(b"").hexdigest()
-    result = out.select(
-        "doc_id",
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
-    )
-    result = durable(result, "repeats")
-    docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
-    return result
-
-
-def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str = "text", facts: bool = False) -> DataFrame:
     """Documents without their repeated strings; columns stay as they are.
 
+    A byte goes if it is in a string of ``spec.length`` bytes that also starts anywhere else.
     Where a cut leaves part of a character, its bytes go too. Texts that occur as whole copies
-    of ``spec.length`` bytes or more become empty, null texts stay null.
+    of ``spec.length`` bytes or more become empty, null texts stay null, an empty table stays
+    empty. Rows repeated under one id are documents of their own. A text takes about forty
+    bytes a byte while its positions are ranked.
+
+    With ``facts`` the long columns n_bytes, n_removed, n_spans and the string kept_sha256 (of
+    the bytes that remain, before parts of characters go) are added, or replaced.
     """
-    columns = docs.columns
+    own = [c for c in docs.columns if not (facts and c in FACTS)]
+    name, cut_name, cut_text = tx.unused(docs, "name"), tx.unused(docs, "cut_name"), tx.unused(docs, "cut")
 
     def name_of(part: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array(_digests(part, text)[0])]
 
-    rows, spans, table = repeated_spans(docs, spec, text)
-    copied = rows.where("copies is not null").select("name", F.lit("").alias("__cut")).distinct()
-    cut = _digest_kept(docs.sparkSession.table(table), spans)
-    cuts = durable(_as_text(cut.join(copied, "name", "left_anti")).unionByName(copied).withColumnRenamed("name", "__cut_name"), "cuts")
-    docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
-    named = tx.append_columns(docs, [T.StructField("__name", T.LongType())], lambda: name_of, text)
-    joined = named.join(cuts, named["__name"] == cuts["__cut_name"], "left")
-    new = F.when(F.col(text).isNull(), F.lit(None)).otherwise(F.coalesce("__cut", text))
-    return joined.withColumn(text, new).select(*[f"`{c}`" for c in columns])
+    rows, spans, table = repeated_spans(docs.select(F.lit(0).cast("long").alias("doc_id"), text), spec, text)
+    try:
+        copied = rows.where("copies is not null").select("name", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("cut")).distinct()
+        cut = _as_text(_digest_kept(docs.sparkSession.table(table), spans))
+        cuts = durable(cut.join(copied, "name", "left_anti").unionByName(copied), "cuts")
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    named = tx.append_columns(docs.select(*[f"`{c}`" for c in own]), [T.StructField(name, T.LongType())], lambda: name_of, text)
+    joined = named.join(cuts.withColumnsRenamed({"name": cut_name, "cut": cut_text}), F.col(name) == F.col(cut_name), "left")
+    body = F.col(f"`{text}`")
+    new = F.when(body.isNull(), F.lit(None)).otherwise(F.coalesce(cut_text, body)).alias(text)
+    more = [
+        F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce(cuts["n_removed"], F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(cuts["n_spans"], F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce(cuts["kept_sha256"], F.sha2(F.coalesce(body, F.lit("")).cast("binary"), 256)).alias("kept_sha256"),
+    ]
+    return joined.select(*[new if c == text else named[f"`{c}`"] for c in own], *(more if facts else []))
+
+
+def digest_removed(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str = "text") -> DataFrame:
+    """What removing every repeated string leaves: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the remaining text.
+
+    Null texts count as empty; rows repeated under one id are documents of their own.
+    """
+    return remove_repeats(docs.select("doc_id", text), spec, text, facts=True).select("doc_id", *FACTS, text)
 
 
 def _as_text(cut: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             texts = [b.decode("utf-8", "ignore") for b in part.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("name"), pa.array(texts, pa.string())], ["name", "__cut"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*part.schema.names[:-1], "cut"])
 
-    return cut.select("name", "kept").mapInArrow(run, "name long, __cut string")
+    return cut.select("name", "n_removed", "n_spans", "kept_sha256", "kept").mapInArrow(run, "name long, n_removed long, n_spans long, kept_sha256 string, cut string")

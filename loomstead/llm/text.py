@@ -90,26 +90,42 @@ def prefix_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Name of two strings in a row from the names of both."""
-    return mix(mix(a) * _ODD + b)
+    """Name of two things in a row from the names of both."""
+    return mix(a * _ODD + b)
 
 
-def gram_names(data: np.ndarray, levels: int) -> np.ndarray:
-    """Name of the ``8 * 2 ** levels`` bytes from each place on, by doubling: first of 8 bytes, which are exact, then of pairs.
+def gram_names(data: np.ndarray, levels: int) -> list[np.ndarray]:
+    """By level, the name of the ``8 * 2 ** level`` bytes from each place on: eight bytes as they are, then pairs of names.
 
-    One name a place at which so many bytes stand; strings may cross from a text into the next.
+    There is one name a place at which so many bytes stand; strings may cross from a text into the next.
     """
     wide = data.astype(np.uint64)
     for k in (1, 2, 4):
-        if len(wide) <= k:
-            return np.zeros(0, np.uint64)
-        wide = wide[:-k] | (wide[k:] << np.uint64(8 * k))
+        wide = wide[: max(len(wide) - k, 0)] | (wide[k:] << np.uint64(8 * k))
+    found = [mix(wide)]
     for level in range(levels):
-        k = 8 << level
-        if len(wide) <= k:
-            return np.zeros(0, np.uint64)
-        wide = joined(wide[:-k], wide[k:])
-    return wide
+        last, k = found[-1], 8 << level
+        found.append(joined(last[: max(len(last) - k, 0)], last[k:]))
+    return found
+
+
+class SpanNames:
+    """Names of spans, all of at least ``8 * 2 ** level`` bytes: those of the strings of that size that cover them.
+
+    Spans of equal length have equal names if and only if they are equal, up to the chance of
+    2**-64 with which two different strings share a name; there is no pattern that nesting
+    names of pairs would not break.
+    """
+
+    def __init__(self, names: np.ndarray, level: int) -> None:
+        self.names, self.unit = names, 8 << level
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        last = np.clip(end - self.unit, 0, max(len(self.names) - 1, 0))
+        total = (end - start).astype(np.uint64)
+        for k in range(-(-int((end - start).max(initial=0)) // self.unit)):
+            total = joined(total, self.names[np.minimum(start + k * self.unit, last)])
+        return total
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstead.llm import lattice, ngramjoin, suffix
+from loomstead.llm import text as tx
 from loomstead.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -183,7 +184,7 @@ def test_sampled_positions_follow_content():
     places = []
     for lead in (3, 57, 400):
         data = np.concatenate([rng.integers(97, 105, lead, dtype=np.uint8), core, rng.integers(97, 105, 300, dtype=np.uint8)])
-        row, where, low, high = suffix.sample(data, np.array([0, len(data)]), spec)
+        row, where, low, high = suffix.sample(tx.gram_names(data, 1)[1], np.array([0, len(data)]), spec)
         owner = {}
         for p, a, b in zip(where.tolist(), low.tolist(), high.tolist(), strict=True):
             for d in range(a, b + 1):
