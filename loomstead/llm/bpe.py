@@ -354,7 +354,10 @@ class TextEncoder:
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add each text's token ids; a null or empty text has none.
 
-    ``tokenizer_path`` is a tokenizer file that every executor can open.
+    ``tokenizer_path`` is a tokenizer file that every executor can open. Repeated rows are
+    encoded one by one, an empty table gives an empty one. Long texts are encoded part by
+    part, cut before single spaces; one without such a space is encoded whole, at about
+    fifty bytes a character.
     """
 
     def make():
@@ -388,5 +391,7 @@ def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "
                 lists = (flat[e - n : e].tolist() for e, n in zip(ends, size.tolist(), strict=True))
                 texts = [" ".join(map(strings.__getitem__, x)) for x in lists] if plain else [tokenizer.decode(x, skip_special_tokens=False) for x in lists]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, text])
+        del tokenizer, strings
+        tx.give_back()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))

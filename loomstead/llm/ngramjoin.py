@@ -192,8 +192,9 @@ def _survey(docs: DataFrame, spec: JoinSpec, text: str) -> DataFrame:
         used = np.flatnonzero(total)
         none = [pa.nulls(len(used), pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([*none, pa.array(used.astype(np.int32)), pa.array(total[used])], names)
+        tx.give_back()
 
-    rows = docs.select("doc_id", text, F.xxhash64(text).alias("hash"))
+    rows = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("hash"))
     return rows.mapInArrow(run, "doc_id long, sid long, size long, hash long, token_class int, n long")
 
 
@@ -215,6 +216,7 @@ def _entries(docs: DataFrame, spec: JoinSpec, frequent, text: str) -> DataFrame:
             owner, keys = index_keys(sets, frequent.value, spec.percent)
             size = np.bincount(owner, minlength=part.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(sets.sid), pa.array(sets.size.astype(np.int32)), _longs(keys, np.cumsum(size) - size, size)], ["sid", "size", "keys"])
+        tx.give_back()
 
     rows = docs.select(text).mapInArrow(run, "sid long, size int, keys array<long>").where("size > 0")
     return rows.groupBy("sid", "size").agg(F.first("keys").alias("keys"))
@@ -274,12 +276,12 @@ def _groups(entries: DataFrame, spec: JoinSpec) -> DataFrame:
 def _sets_of(docs: DataFrame, survey: DataFrame, wanted: DataFrame, spec: JoinSpec, text: str, tokens: bool) -> DataFrame:
     """Sketch, or with ``tokens`` the whole set, of every ``wanted`` name (column sid), made anew from one text of each.
 
-    The survey tells which text, by its hash. A bitmap over those hashes, of sixteen bits for
-    each up to ``FILTER_BITS`` in all, spares most other texts; what it lets through besides
-    is harmless.
+    The survey tells which text, by its hash. A bitmap over those hashes, which has at least
+    32 bits for each up to ``FILTER_BITS`` in all, spares most other texts; what it lets
+    through besides is harmless.
     """
     one = durable(survey.where("token_class is null").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("hash").alias("hash")), "wanted")
-    bits = 1 << min(FILTER_BITS, max(16, int(16 * one.count()).bit_length()))
+    bits = 1 << min(FILTER_BITS, max(24, int(32 * one.count()).bit_length()))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(one, bits))
     discard(one)
 
@@ -429,6 +431,8 @@ def _apart(groups: DataFrame, sets: DataFrame, comps: DataFrame, spec: JoinSpec,
                 held = table.slice(cut).to_batches()
         if held:
             yield emit(pa.Table.from_batches(held))
+        held.clear()
+        tx.give_back()
 
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = "a long, b long, gid long" if forest else "gid long, sid long, size long, comp long"
@@ -482,6 +486,19 @@ def _rest(members: DataFrame, sets: DataFrame, spec: JoinSpec, whole: bool) -> D
     return rows.repartition(parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, "gid long, a long, b long").distinct()
 
 
+def _classes(members: DataFrame) -> DataFrame:
+    """Members of overlapping groups as one group, where their tokens fit in one block, so that each is sent once.
+
+    In classes that are larger the members stay in their own groups.
+    """
+    hubs = members.groupBy("gid").agg(F.min("sid").alias("b"))
+    named = components(members.join(hubs, "gid").select(F.col("sid").alias("a"), "b").where("a <> b"))
+    rows = members.select("sid", "size", "comp").distinct().join(named, F.col("sid") == F.col("node")).select(F.col("component").alias("class"), "sid", "size", "comp")
+    small = rows.groupBy("class").agg(F.sum("size").alias("n")).where(F.col("n") <= BLOCK_TOKENS).select("class")
+    merged = durable(rows.join(small, "class", "left_semi").select(F.col("class").alias("gid"), "sid", "size", "comp"), "classes")
+    return merged.unionByName(members.join(merged.select("sid"), "sid", "left_anti"))
+
+
 def _decided(members: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
     """Similar pairs (a, b) that connect all similar undecided members of the groups.
 
@@ -545,7 +562,7 @@ def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text
     members = durable(_apart(left, sets, joined, spec, False), "undecided")
     discard(allowed)
     whole = durable(_sets_of(docs, survey, members.select("sid").distinct(), spec, text, True), "sets")
-    joined = join(durable(_decided(members, whole, spec), "links"))
+    joined = join(durable(_decided(_classes(members), whole, spec), "links"))
     for done in (whole, groups, sets, members):
         discard(done)
     return survey.where("token_class is null").select("doc_id", "sid", "size", "hash"), joined
@@ -554,8 +571,10 @@ def similar_sets(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text
 def connect(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text") -> DataFrame:
     """Each document's set size and the smallest ``doc_id`` that links reach: doc_id, n_shingles, component_id.
 
-    A document without words links with nothing. Rows repeated under one id, or with a null
-    id, are rows of their own; a component of null ids alone has its own null id.
+    A document without words (null, empty or blank) links with nothing. Rows repeated under
+    one id, or with a null id, are rows of their own; a component of null ids alone has its
+    own null id. An empty table gives an empty one. ``doc_id`` has to be an integer. A long
+    text takes about sixty bytes a word, and five a byte, while its set is made.
     """
     named, final = similar_sets(docs, spec, text)
     rows = named.join(final, named["sid"] == final["node"], "left").select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("component", "sid")).alias("c"))
@@ -567,7 +586,7 @@ def connect(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text") ->
 def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text") -> DataFrame:
     """One row of each component, that of the smallest ``doc_id``; columns stay as they are.
 
-    Rows without words stay, each of them. A null id counts as the largest. Among texts of
+    Rows without words (null, empty or blank texts) stay, each of them. A null id counts as the largest. Among texts of
     one id the one whose hash is least stays, and of rows that repeat id and text the one
     whose other columns' hash is least.
     """
@@ -578,9 +597,11 @@ def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), text: str = "text") -
     first = durable(least.select("r.doc_id", "r.hash", "r.n"), "kept")
     wordless = rows.where("size = 0").select("doc_id", "hash", F.lit(1).cast("long").alias("n")).distinct()
 
-    hashed = docs.withColumn("__hash", F.xxhash64(text))
-    chosen = lambda keys: hashed.join(keys, hashed["doc_id"].eqNullSafe(keys["doc_id"]) & (hashed["__hash"] == keys["hash"]), "left_semi")
+    key = tx.unused(docs, "hash")
+    hashed = docs.withColumn(key, F.xxhash64(text))
+    chosen = lambda keys: hashed.join(keys, hashed["doc_id"].eqNullSafe(keys["doc_id"]) & (hashed[key] == keys["hash"]), "left_semi")
     others = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    repeated = chosen(first.where("n > 1")).withColumn("__others", others)
-    one = repeated.groupBy("doc_id", "__hash").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), "__others").alias("__row")).select("__row.*")
-    return chosen(first.where("n = 1").unionByName(wordless)).drop("__hash").unionByName(one)
+    order = tx.unused(hashed, "order")
+    repeated = chosen(first.where("n > 1")).withColumn(order, others)
+    one = repeated.groupBy("doc_id", key).agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), order).alias("row")).select("row.*")
+    return chosen(first.where("n = 1").unionByName(wordless)).drop(key).unionByName(one)

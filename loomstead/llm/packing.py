@@ -115,16 +115,18 @@ def plan(counts: dict[int, int], capacity: int) -> Layout:
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, text: str = "text", carry: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """Tokenise each text, end it with ``end_id``, and cut it; columns ``carry`` are repeated on each piece.
 
-    A null or empty text is a document of the end id alone.
+    A null or empty text is a document of the end id alone, as is each of repeated rows; an
+    empty table has no pieces. A long text is encoded part by part, its ids are held together.
     """
-    own = docs.select(*carry, F.col(text).alias("__text"))
+    body = tx.unused(docs, "text")
+    own = docs.select(*carry, F.col(text).alias(body))
     kinds = [f"{c.name} {c.dataType.simpleString()}" for c in own.schema.fields[:-1]]
     schema = ", ".join([*(f"`{k.split(' ', 1)[0]}` {k.split(' ', 1)[1]}" for k in kinds), "piece int", "start long", "length long", "ids_crc32 long", *(["ids array<int>"] if with_ids else [])])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(tokenizer_path)
-        for part in tx.slices(batches, "__text"):
-            ids, offsets = encoder([t or "" for t in part.column("__text").to_pylist()])
+        for part in tx.slices(batches, body):
+            ids, offsets = encoder([t or "" for t in part.column(body).to_pylist()])
             size = np.diff(offsets)
             row, out = [], ([], [], [], [])
             lists = []
@@ -136,11 +138,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, tex
                         column.append(value)
                     if with_ids:
                         lists.append(doc[s : s + m].astype(np.int32))
-            taken = part.select(list(carry)).take(pa.array(row, pa.int64())) if hasattr(part, "take") else part
+            taken = part.select(list(carry)).take(pa.array(row, pa.int64()))
             columns = [*taken.columns, pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:])]
             if with_ids:
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, [*carry, *_PIECE_NAMES, *(["ids"] if with_ids else [])])
+        del encoder
+        tx.give_back()
 
     return own.mapInArrow(run, schema)
 
@@ -150,9 +154,11 @@ def pack(cut_pieces: DataFrame, capacity: int) -> DataFrame:
 
     The pieces are written once, each with its number among its task's pieces of the same
     length; counts by task and length give every piece its rank without gathering a length
-    in one place. The layout is planned on at most ``capacity`` counted lengths.
+    in one place. The layout is planned on at most ``capacity`` counted lengths. Pieces of
+    an empty table give an empty result; equal pieces are placed one by one.
     """
     names = cut_pieces.columns
+    at_task, at_rank, at_base, at_n = (tx.unused(cut_pieces, x) for x in ("task", "rank", "base", "n"))
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -166,21 +172,21 @@ def pack(cut_pieces: DataFrame, capacity: int) -> DataFrame:
             rank = np.empty(len(length), np.int64)
             rank[order] = seen[sorted_] + np.arange(len(length)) - np.searchsorted(sorted_, sorted_)
             seen += np.bincount(length, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(length), task, np.int32)), pa.array(rank)], [*names, "__task", "__rank"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(length), task, np.int32)), pa.array(rank)], [*names, at_task, at_rank])
 
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema.fields), "__task int", "__rank long"])
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema.fields), f"{at_task} int", f"{at_rank} long"])
     numbered = durable(cut_pieces.mapInArrow(number, kinds), "pieces")
-    by_task = durable(numbered.groupBy("__task", "length").agg(F.count("*").alias("__n")), "piece-counts")
-    layout = plan({r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("__n").alias("n")).collect()}, capacity)
-    before = Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
-    base = by_task.select("__task", "length", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    by_task = durable(numbered.groupBy(at_task, "length").agg(F.count("*").alias(at_n)), "piece-counts")
+    layout = plan({r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum(at_n).alias("n")).collect()}, capacity)
+    before = Window.partitionBy("length").orderBy(at_task).rowsBetween(Window.unboundedPreceding, -1)
+    base = by_task.select(at_task, "length", F.coalesce(F.sum(at_n).over(before), F.lit(0)).alias(at_base))
     shared = cut_pieces.sparkSession.sparkContext.broadcast(layout)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            rank = part.column("__rank").to_numpy(zero_copy_only=False) + part.column("__base").to_numpy(zero_copy_only=False)
+            rank = part.column(at_rank).to_numpy(zero_copy_only=False) + part.column(at_base).to_numpy(zero_copy_only=False)
             sequence, offset = shared.value.place(part.column("length").to_numpy(zero_copy_only=False), rank)
             yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema.fields), "sequence_id long", "offset long"])
-    return numbered.join(base, ["__task", "length"]).mapInArrow(place, kinds)
+    return numbered.join(base, [at_task, "length"]).mapInArrow(place, kinds)

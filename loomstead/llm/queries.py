@@ -30,15 +30,18 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every document by base rules and by cutoffs that the labels certify for its language."""
     judged, _ = risk_rules.judge(_documents(spark, sf_dir), _labels(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op3_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all embeddings of one label."""
     return lattice.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with models trained on the documents' own tokens."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     found = secrets.scan(docs, secrets.fit(secrets.labelled_tokens(docs)))
 
@@ -53,10 +56,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove repeated passages; the facts of the removal, and the text that remains."""
     return suffix.digest_removed(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op6_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     ids = bpe.encode(docs, WORD_BPE).select("doc_id", "ids")
     return bpe.decode(ids, WORD_BPE).select(
@@ -68,11 +73,13 @@ def op6_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of 1024 tokens."""
     cut = packing.pieces(_documents(spark, sf_dir).select("doc_id", "text"), BYTE_BPE, end_id=2, capacity=1024)
     return packing.pack(cut, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict every document's language by a model of the other folds."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.fit(docs.where(langid.fold() != 0))
     out = langid.predict(docs.select("doc_id", F.coalesce(langid.fold() == 0, F.lit(False)).alias("held_out"), "text"), model)
@@ -82,15 +89,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the documents as flat token files, then count each one's tokens by scanning them."""
     folder = new_path(spark, "tokens")
-    manifest = tokenscan.write_token_files(_documents(spark, sf_dir).select("doc_id", "text"), folder, BYTE_BPE, end_id=50256)
-    counts = tokenscan.count_tokens(spark, manifest.select("file"), end_id=50256)
-    result = durable(manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "terminated"), "token-counts")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return result
+    try:
+        manifest = tokenscan.write_token_files(_documents(spark, sf_dir).select("doc_id", "text"), folder, BYTE_BPE, end_id=50256)
+        counts = tokenscan.count_tokens(spark, manifest.select("file"), end_id=50256)
+        return durable(manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "terminated"), "token-counts")
+    finally:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Join all documents whose sets of word shingles are similar."""
     return ngramjoin.connect(_documents(spark, sf_dir).select("doc_id", "text"))
 
 

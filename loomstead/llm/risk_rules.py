@@ -21,6 +21,8 @@ _UPPER[65:91] = True
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 REPEAT_WINDOW = 8
+#: Strata that get cutoffs at most, as each is a row of a broadcast table and of the driver's memory.
+MAX_STRATA = 1000
 
 
 def _repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,13 +198,20 @@ def select_cutoffs(labelled: DataFrame, stratum: str, risk: float = 0.02, delta:
     the chosen cutoffs of every stratum together reject at most ``risk`` of its good
     documents: each stratum is tested at ``delta`` over the number of strata, as
     :func:`_tighten` tells. A stratum with too few good documents for any cutoff gets none,
-    and so keeps everything. Per stratum one count of each met combination of grid places
+    isn't counted among the strata, and so keeps everything; so do strata beyond the
+    ``MAX_STRATA`` with the most good documents. Per stratum one count of each met combination of grid places
     reaches the driver, however many documents there are.
     """
     family = rules()
+    least = math.ceil(math.log(delta) / math.log1p(-risk))  # with fewer, not even a single stratum could be certain of anything
     # tightenings from which a score is rejected: cutoffs are tried from the last of the grid to the first
     place = [(F.lit(len(grid) + 1) - sum((F.when(score > c, 1).otherwise(0) for c in grid), F.lit(0))).alias(f"__{name}") for name, (score, grid) in family.items()]
-    rows = labelled.select(F.col(stratum).alias("__stratum"), *place).groupBy("__stratum", *[f"__{name}" for name in family]).agg(F.count("*").alias("__n")).collect()
+    placed = labelled.select(F.col(stratum).alias("__stratum"), *place)
+    sizes = [(r["__stratum"], r["n"]) for r in placed.groupBy("__stratum").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "__stratum").limit(MAX_STRATA).collect()]
+    wanted = F.lit(False)
+    for name, _ in sizes:
+        wanted |= F.col("__stratum").eqNullSafe(F.lit(name))
+    rows = placed.where(wanted).groupBy("__stratum", *[f"__{name}" for name in family]).agg(F.count("*").alias("__n")).collect() if sizes else []
     cells: dict[str | None, list] = {}
     for row in rows:
         cells.setdefault(row["__stratum"], []).append(row[1:])
@@ -234,7 +243,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     """Measure every document once, choose cutoffs on the labelled good ones, and apply them.
 
     A document labelled twice is good only if each label says so; null labels aren't good.
-    Documents repeated under one id are measured and judged one by one.
+    Documents repeated under one id are measured and judged one by one; null and empty texts
+    fail the base rules; an empty table gives an empty one. A long text takes about ten bytes
+    a byte, and eighty a word.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("__good")).where("__good").select("doc_id")
     measured = durable(measure(docs.select("doc_id", "text", F.col(stratum).cast("string").alias("stratum"))).drop("text"), "rules")

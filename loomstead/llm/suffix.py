@@ -62,8 +62,8 @@ class RepeatSpec:
     def steps(self) -> list[int]:
         """Sizes of the offset ranges that are told apart in turn."""
         sizes = [1]
-        while sizes[-1] * 4 < self.reach:
-            sizes.append(sizes[-1] * 4)
+        while sizes[-1] * 8 < self.reach:
+            sizes.append(sizes[-1] * 8)
         return sizes[::-1]
 
 
@@ -189,7 +189,7 @@ def _candidates(docs: DataFrame, wanted: DataFrame, spec: RepeatSpec, text: str)
     return table
 
 
-_CELLS = "name long, pos long, low int, size int, open boolean, own long, core long"
+_CELLS = "name long, pos long, low int, size int, open boolean, from int, to int, own long, core long"
 
 
 def _name_cells(bodies: DataFrame, cells: DataFrame, spec: RepeatSpec) -> DataFrame:
@@ -198,7 +198,7 @@ def _name_cells(bodies: DataFrame, cells: DataFrame, spec: RepeatSpec) -> DataFr
     ``own`` names the bytes that all the cell's strings cover together (null where they leave
     the text), ``core`` the bytes that each of them covers.
     """
-    state = cells.groupBy("name").agg(F.collect_list(F.struct("pos", "low", "size", "open")).alias("cells"))
+    state = cells.groupBy("name").agg(F.collect_list(F.struct("pos", "low", "size", "open", "from", "to")).alias("cells"))
     level = min(4, ((spec.length - spec.reach) // 8).bit_length() - 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,27 +220,32 @@ def _name_cells(bodies: DataFrame, cells: DataFrame, spec: RepeatSpec) -> DataFr
             own = tx.joined(names(start, end), tag).view(np.int64)
             core = tx.joined(names(core_start, core_end), tag).view(np.int64)
             name = part.column("name").to_numpy()[row]
-            columns = [pa.array(name), pa.array(pos), pa.array(low.astype(np.int32)), pa.array(size.astype(np.int32)), flat.field(3), pa.array(own, mask=~whole), pa.array(core)]
-            yield pa.RecordBatch.from_arrays(columns, ["name", "pos", "low", "size", "open", "own", "core"]).filter(pa.array(ok))
+            columns = [pa.array(name), pa.array(pos), pa.array(low.astype(np.int32)), pa.array(size.astype(np.int32)), *(flat.field(k) for k in (3, 4, 5)), pa.array(own, mask=~whole), pa.array(core)]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "pos", "low", "size", "open", "from", "to", "own", "core"]).filter(pa.array(ok))
         tx.give_back()
 
     return bodies.join(state, "name").select("name", "body", "cells").mapInArrow(run, _CELLS)
 
 
-def _told_apart(named: DataFrame) -> DataFrame:
-    """Keep cells whose core another position shares, while one of the group is open.
+def _told_apart(named: DataFrame, by_core: bool) -> DataFrame:
+    """Add ``again``: the cell's own bytes occur at two positions.
 
-    Adds ``again``: the cell's own bytes occur at two positions. Of positions with the same
-    own bytes one goes on, for others to match. Both counts are tables of their own, so that
-    Spark can split the joins with them where a core is very common.
+    Of positions with the same own bytes one goes on (``first``), for others to match.
+    ``by_core`` keeps cells whose core another position shares, while one of the group is
+    open. Both counts are tables of their own, so that Spark can split the joins with them
+    where a string is very common.
     """
     at = F.struct("name", "pos")
-    cores = durable(named.groupBy("core").agg(F.min(at).alias("a"), F.max(at).alias("z"), F.max("open").alias("any_open")).where("a < z and any_open").select("core"), "cores")
     owns = durable(named.where("own is not null").groupBy("own").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a < z").select("own", "a"), "owns")
-    kept = named.join(cores, "core", "left_semi").join(owns, "own", "left")
-    found = durable(kept.withColumn("again", F.col("a").isNotNull()).withColumn("first", F.coalesce(F.col("a") == at, F.lit(True))).drop("a"), "state")
-    discard(cores)
+    kept = named
+    if by_core:
+        cores = durable(named.groupBy("core").agg(F.min(at).alias("a"), F.max(at).alias("z"), F.max("open").alias("any_open")).where("a < z and any_open").select("core"), "cores")
+        kept = named.join(cores, "core", "left_semi")
+    kept = kept.join(owns, "own", "left").withColumn("again", F.col("a").isNotNull()).withColumn("first", F.coalesce(F.col("a") == at, F.lit(True)))
+    found = durable(kept.drop("a", "own", "core"), "state")
     discard(owns)
+    if by_core:
+        discard(cores)
     return found
 
 
@@ -270,9 +275,10 @@ def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str =
     spark = docs.sparkSession
     try:
         bodies = spark.table(table)
-        halves = live.join(_own_ranges(bodies, spec), ["name", "pos"])
+        halves = durable(live.join(_own_ranges(bodies, spec), ["name", "pos"]), "halves")
         backs = _rerank(halves, "three", "four", "back")
         discard(live)
+        discard(halves)
         cores = _rerank(backs, "front", "back", "core")
         discard(backs)
         whole = copies.select("name", F.lit(True).alias("copied"))
@@ -286,36 +292,25 @@ def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str =
 
 def _extents(bodies: DataFrame, ranges: DataFrame, spec: RepeatSpec) -> DataFrame:
     """Spans (name, start, end) of the repeated strings that the positions in ``ranges`` answer for."""
-    # the first range is a position's own offsets, the cells after it lie on a common grid
-    cells = ranges.select("name", "pos", "low", (F.col("high") - F.col("low") + 1).cast("int").alias("size"), "open")
-    found = None
-    last = None
+    # the first range is a position's own offsets (those of one core may differ, so cores rule
+    # nothing out there), the cells after it lie on a common grid
+    cells = ranges.select("name", "pos", "low", (F.col("high") - F.col("low") + 1).cast("int").alias("size"), "open", F.col("low").alias("from"), F.col("high").alias("to"))
+    found = last = None
     for turn, size in enumerate([*spec.steps, 0]):
         named = durable(_name_cells(bodies, cells, spec), "cells")
-        if turn == 0:  # ranges of one core may differ, so cores of ranges don't rule anything out
-            named = named.withColumn("core", F.lit(0).cast("long"))
-            owns = named.where("own is not null").groupBy("own").agg(F.min(F.struct("name", "pos")).alias("a"), F.max(F.struct("name", "pos")).alias("z")).where("a < z").select("own", "a")
-            owns = durable(owns, "owns")
-            at = F.struct("name", "pos")
-            state = durable(named.join(owns, "own", "left").withColumn("again", F.col("a").isNotNull()).withColumn("first", F.coalesce(F.col("a") == at, F.lit(True))).drop("a"), "state")
-            discard(owns)
-        else:
-            state = _told_apart(named)
+        state = _told_apart(named, turn > 0)
         discard(named)
-        if last is not None:
-            discard(last)
+        discard(ranges if last is None else last)
         spans = durable(state.where("open and again").select("name", (F.col("pos") - F.col("low") - F.col("size") + 1).alias("start"), (F.col("pos") - F.col("low") + spec.length).alias("end")), "spans")
         found = spans if found is None else found.unionByName(spans)
-        if not size:
-            discard(state)
-            break
-        going = state.where("not again or first").withColumn("open", F.expr("open and not again"))
-        going = going.join(ranges.select("name", "pos", F.col("low").alias("from"), F.col("high").alias("to")), ["name", "pos"])
-        begin = F.greatest(F.col("low"), F.col("from"))
-        end = F.least(F.col("low") + F.col("size") - 1, F.col("to"))
-        steps = F.sequence((F.floor(begin / size) * size).cast("int"), end.cast("int"), F.lit(size))
-        cells = going.select("name", "pos", F.explode(steps).alias("low"), F.lit(size).alias("size"), "open")
+        if size:
+            going = state.where("not again or first").withColumn("open", F.expr("open and not again"))
+            begin = F.greatest("low", "from")
+            end = F.least(F.col("low") + F.col("size") - 1, F.col("to"))
+            steps = F.sequence((F.floor(begin / size) * size).cast("int"), end.cast("int"), F.lit(size))
+            cells = going.select("name", "pos", F.explode(steps).alias("low"), F.lit(size).alias("size"), "open", "from", "to")
         last = state
+    discard(last)
     return found
 
 

@@ -21,6 +21,8 @@ _PLACE = np.uint64(0xD6E8FEB86659FD93)
 #: Places in a span whose byte codes are kept in a table; later places are computed.
 _TABLED = 64
 
+#: Values that are scrambled at a time.
+CACHED = 1 << 16
 #: Word separators: space and 0x09-0x0D.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 IS_WORD = np.ones(256, dtype=bool)
@@ -29,14 +31,24 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def _stir(x: np.ndarray, spare: np.ndarray) -> None:
+    """Scramble unsigned 64-bit values in place, by a bijection."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(x, np.uint64(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        np.multiply(x, np.uint64(factor), out=x)
+    np.right_shift(x, np.uint64(31), out=spare)
+    np.bitwise_xor(x, spare, out=x)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
-    """Bijective scrambling of unsigned 64-bit values."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    """Bijective scrambling of unsigned 64-bit values, in pieces that stay in the cache."""
+    x = x.astype(np.uint64, order="C", copy=True)
+    flat = x.reshape(-1)
+    spare = np.empty(min(len(flat), CACHED), np.uint64)
+    for begin in range(0, len(flat), CACHED):
+        piece = flat[begin : begin + CACHED]
+        _stir(piece, spare[: len(piece)])
     return x
 
 
@@ -90,8 +102,15 @@ def prefix_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Name of two things in a row from the names of both."""
-    return mix(a * _ODD + b)
+    """Name of two things in a row from the names of both, which have one shape."""
+    out = np.empty(len(a), np.uint64)
+    spare = np.empty(min(len(out), CACHED), np.uint64)
+    for begin in range(0, len(out), CACHED):
+        piece = out[begin : begin + CACHED]
+        np.multiply(a[begin : begin + CACHED], _ODD, out=piece)
+        np.add(piece, b[begin : begin + CACHED], out=piece)
+        _stir(piece, spare[: len(piece)])
+    return out
 
 
 def gram_names(data: np.ndarray, levels: int) -> list[np.ndarray]:
