@@ -93,14 +93,14 @@ def props_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("field").agg(F.count("*").alias("n"), F.sum("number").alias("total"))
 
 
-def similar_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine of every vector with the vector of id 0, in double precision and without Python."""
+def next_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of every vector with that of the next id, in double precision and without Python."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    first = rows.where("vec_id = 0").select(F.col("v").alias("u"))
-    return rows.join(F.broadcast(first)).select("vec_id", F.round(udfs.cosine("v", "u"), 5).alias("cosine"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("u"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(udfs.cosine("v", "u"), 5).alias("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (event_ranks, daily_activity, hourly_counts, sliding_users, sessions, last_view, event_props, type_profiles, value_buckets, value_ranges, props_fields, similar_to_first)}
+QUERIES = {f.__name__: f for f in (event_ranks, daily_activity, hourly_counts, sliding_users, sessions, last_view, event_props, type_profiles, value_buckets, value_ranges, props_fields, next_vector)}
 
 SQL = {
     "event_ranks": """
@@ -142,8 +142,8 @@ SQL = {
     "value_buckets": "SELECT CAST(floor(value / 10) AS BIGINT) AS bucket, count(*) AS n FROM events GROUP BY 1",
     "value_ranges": "SELECT event_type, round(max(value) - min(value), 6) AS spread, count(*) AS n FROM events GROUP BY event_type",
     "props_fields": "SELECT 'k' AS field, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events",
-    "similar_to_first": """
+    "next_vector": """
         SELECT e.vec_id, round(list_dot_product(e.v, f.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(f.v, f.v))), 5) AS cosine
-        FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e, (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0) f
+        FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) f ON f.vec_id = e.vec_id + 1
     """,
 }

@@ -173,7 +173,7 @@ def shipping_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         """
         WITH RECURSIVE months(m) AS (SELECT 1 UNION ALL SELECT m + 1 FROM months WHERE m < 12)
         SELECT m AS month, count(o_orderkey) AS n_orders
-        FROM months LEFT JOIN (SELECT o_orderkey, month(o_orderdate) AS om FROM {orders} WHERE year(o_orderdate) = 1996) ON m = om
+        FROM months LEFT JOIN (SELECT o_orderkey, month(o_orderdate) AS om FROM {orders} WHERE o_orderdate >= TIMESTAMP_NTZ '1996-01-01' AND o_orderdate < TIMESTAMP_NTZ '1997-01-01') ON m = om
         GROUP BY m
         """,
         orders=table(spark, sf_dir, "orders"),

@@ -61,3 +61,39 @@ def test_functions_with_nulls(spark):
 def test_stream_keeps_every_event_once(spark, sf_dir):
     found = event_stream.first_events(spark, sf_dir)
     assert found.count() == found.distinct().count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def three_files(spark, folder, sf_dir):
+    """The events in three files, of which the last also brings one row that is a week late."""
+    import time
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").toPandas()
+    late = events.iloc[:1].copy()
+    late["event_id"] = events["event_id"].max() + 1
+    (folder / "events.parquet").mkdir()
+    import pandas as pd
+
+    third = len(events) // 3
+    for k, part in enumerate([events.iloc[:third], events.iloc[third : 2 * third], pd.concat([events.iloc[2 * third :], late])]):
+        part.to_parquet(folder / "events.parquet" / f"{k}.parquet", coerce_timestamps="us", index=False)
+        time.sleep(1.1)  # files are taken by the time they were changed
+    return str(folder), events, late
+
+
+def test_streams_over_several_batches(spark, sf_dir, tmp_path):
+    folder, events, late = three_files(spark, tmp_path, sf_dir)
+    every = spark.read.parquet(f"{folder}/events.parquet")
+    got = {r.user_id: (r.n, r.last_id) for r in event_stream.user_state(spark, folder, 1).collect()}
+    assert got == {r.user_id: (r.n, r.last_id) for r in every.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id")).collect()}
+    with pytest.raises(ValueError):
+        event_stream.run_available(event_stream.event_stream(spark, folder), "update")
+
+    hours = {r.hour: r.n for r in event_stream.closed_hours(spark, folder, 1).collect()}
+    on_time = events.groupby(events["ts"].dt.floor("h")).size()
+    assert hours and all(on_time[h] == n for h, n in hours.items())  # the late row is in none of them
+    assert late["ts"].iloc[0].floor("h") in hours
+
+
+def test_sessions_over_several_batches(spark, sf_dir, tmp_path):
+    folder, events, _ = three_files(spark, tmp_path, sf_dir)
+    assert event_stream.user_sessions(spark, folder, 1).agg(F.sum("n")).first()[0] >= len(events)
