@@ -103,7 +103,7 @@ class Encoder:
     N pre-tokens share a 64-bit hash with a chance of N * N / 2**65.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], spaced: bool, limit: int = 300_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], spaced: bool, limit: int = 600_000) -> None:
         self.encode, self.spaced, self.limit = encode, spaced, limit
         self._clear()
 
