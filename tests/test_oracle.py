@@ -6,12 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from loomstead.plans import event_log, star
+from loomstead.plans import star
 from loomstead.session import TABLES
-from loomstead.streaming import event_stream
 
-QUERIES = star.QUERIES | event_log.QUERIES | event_stream.QUERIES
-SQL = star.SQL | event_log.SQL | event_stream.SQL
+QUERIES = {name: query for plan in __spark_entry__.PLANS for name, query in plan.QUERIES.items()}
+SQL = {name: sql for plan in __spark_entry__.PLANS for name, sql in plan.SQL.items()}
 
 
 @pytest.fixture(scope="module")
