@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import bpe, importance, langid, lattice, ngramjoin, packing, risk_rules, secrets, suffix, tokenscan
+from loomstead.llm import bpe, conversations, importance, langid, lattice, ngramjoin, packing, risk_rules, secrets, shards, suffix, tokenscan
 from loomstead.llm.storage import durable, new_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -103,8 +103,32 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.connect(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage all conversations by the contract's rule, then find and apply each one's cheapest repair."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    found = conversations.repair(conversations.damage(turns)).withColumnRenamed("conv_id", "repaired_id")
+    every = turns.select("conv_id").distinct()
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    rows = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce(rows, F.lit("")), 256).alias("repaired_sha256"))
+
+
+def op13_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deal all documents to 40 shards along a Hilbert curve through language, source, size and id.
+
+    The law is ``rows``. Texts are measured where they are read and take no part in the sort.
+    Equal texts of equal language and source are neighbours along the curve as far as their ids allow.
+    """
+    docs = _documents(spark, sf_dir)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    measured = docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    dealt = shards.assign(measured, ["lang", "source", "size", "doc_id"], 40)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_importance_resampling, op2_risk_controlled_rules, op3_lattice_dedup, op4_secret_scan, op5_suffix_dedup, op6_speculative_bpe, op7_best_fit_packing, op8_language_id, op9_token_counts, op10_ngram_jaccard_join]
+    own = [op1_importance_resampling, op2_risk_controlled_rules, op3_lattice_dedup, op4_secret_scan, op5_suffix_dedup, op6_speculative_bpe, op7_best_fit_packing, op8_language_id, op9_token_counts, op10_ngram_jaccard_join, op12_conversation_repair, op13_hilbert_sharding]
     return {f.__name__: f for f in own}
 
 

@@ -1,53 +1,5 @@
-"""Shared storage for intermediate tables.
+"""Shared storage for intermediate tables: the library's own."""
 
-Operators cut lineage by writing a table below ``spark.checkpoint.dir`` and
-reading it back, so a lost executor costs a re-read and not a recomputation.
-"""
+from loomstead.storage import discard, durable, new_path, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it. Where the setting is absent in a local session
-    a temporary folder is made once and kept in the session's settings; a cluster without
-    the setting is an error, as its machines would not see each other's files.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("loomstead.shared.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loomstead-")
-        spark.conf.set("loomstead.shared.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomstead/{name}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to shared storage as Parquet and return the table read back."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`durable` that nothing reads any more."""
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/loomstead/"
-    jvm = spark._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
-            fs.delete(path, True)
+__all__ = ["discard", "durable", "new_path", "shared_dir"]
