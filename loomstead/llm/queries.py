@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import bpe, conversations, importance, langid, lattice, ngramjoin, packing, risk_rules, secrets, shards, suffix, tokenscan
+from loomstead.llm import bpe, conversations, importance, langid, lattice, ngramjoin, packing, risk_rules, secrets, shards, suffix, target_resampling, tokenscan
 from loomstead.llm.storage import durable, new_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -103,6 +103,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.connect(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw a quarter of the documents of at least 20 words, towards the benchmark's distribution."""
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+    found = target_resampling.resample(_documents(spark, sf_dir).select("doc_id", "text"), target)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damage all conversations by the contract's rule, then find and apply each one's cheapest repair."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -128,7 +135,7 @@ def op13_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_importance_resampling, op2_risk_controlled_rules, op3_lattice_dedup, op4_secret_scan, op5_suffix_dedup, op6_speculative_bpe, op7_best_fit_packing, op8_language_id, op9_token_counts, op10_ngram_jaccard_join, op12_conversation_repair, op13_hilbert_sharding]
+    own = [op1_importance_resampling, op2_risk_controlled_rules, op3_lattice_dedup, op4_secret_scan, op5_suffix_dedup, op6_speculative_bpe, op7_best_fit_packing, op8_language_id, op9_token_counts, op10_ngram_jaccard_join, op11_target_resampling, op12_conversation_repair, op13_hilbert_sharding]
     return {f.__name__: f for f in own}
 
 
