@@ -122,7 +122,9 @@ def audit(flagged: DataFrame) -> DataFrame:
     A conversation is folded in parts of at most ``PART_ROWS`` turns so one that
     holds a third of all turns is dealt out; what meets in one row is a letter or two a turn.
     """
-    grouped = flagged.groupBy("conv_id", F.expr(f"place div {PART_ROWS}").alias("part"))
+    dealt = flagged.select("conv_id", "place", "initial", "fault", F.expr(f"place div {PART_ROWS}").alias("part"))
+    tasks = int(flagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work, so not to be put together by size
+    grouped = dealt.repartition(tasks, "conv_id", "part").groupBy("conv_id", "part")
     count = lambda kind: F.count_if(F.col("fault") == kind).alias(kind)
     parts = grouped.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "initial", F.coalesce("fault", F.lit("")).alias("fault")))), lambda t: F.struct(t["initial"].alias("initial"), t["fault"].alias("fault"))).alias("turns"), count("blank"), count("duplicate"), count("truncated"))
     folded = parts.select("conv_id", "part", "blank", "duplicate", "truncated", F.array_join(F.transform("turns", lambda t: t["initial"]), "").alias("initials"), F.struct(*[_fold(F.col("turns"), s).alias(s) for s in STATES]).alias("ways"))
