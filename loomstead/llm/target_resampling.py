@@ -86,12 +86,11 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> pa.Table:
             out.append((k, 0, False, own.tobytes()))
             continue
         start, end = runs(_IS_WORD[own], np.array([0, len(own)]))
-        first = np.unique(np.searchsorted(start, np.arange(0, len(own), limit)))
-        first = first[first < len(start)]
-        for block, (a, b) in enumerate(zip(first, [*first[1:], len(start)], strict=True)):
+        edges = np.unique(np.append(np.searchsorted(start, np.arange(0, len(own), limit)), len(start)))
+        for block, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
             lead = own[start[a - 1] : end[a - 1]].tobytes() + b" " if block else b""
             out.append((k, block, block > 0, lead + own[start[a] : end[b - 1]].tobytes()))
-    columns = list(zip(*out, strict=True))
+    columns = list(zip(*out, strict=True)) or [()] * 4
     return pa.table({"text_no": pa.array(columns[0], pa.int64()), "block": pa.array(columns[1], pa.int64()), "led": pa.array(columns[2], pa.bool_()), "body": pa.array([b.decode() for b in columns[3]], pa.large_string())})
 
 
