@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import bpe, conversations, importance, langid, lattice, ngramjoin, packing, risk_rules, secrets, shards, suffix, target_resampling, tokenscan
+from loomstead.llm import bpe, conversations, importance, langid, lattice, ngramjoin, packing, risk_rules, secrets, shards, suffix, target_resampling, tokenscan, twins
 from loomstead.llm.storage import durable, new_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -125,12 +125,12 @@ def op13_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deal all documents to 40 shards along a Hilbert curve through language, source, size and id.
 
     The law is ``rows``. Texts are measured where they are read and take no part in the sort.
-    Equal texts of equal language and source are neighbours along the curve as far as their ids allow.
+    Equal texts in one cell of the curve are neighbours.
     """
     docs = _documents(spark, sf_dir)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     measured = docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    dealt = shards.assign(measured, ["lang", "source", "size", "doc_id"], 40)
+    dealt = shards.assign(measured, ["lang", "source", "size", "doc_id"], 40, ties=["text_crc32", "doc_id"])
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
@@ -140,4 +140,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return twins.SQL

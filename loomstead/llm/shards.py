@@ -126,14 +126,14 @@ def _search(key: Column, edges: list[tuple[int, object]]) -> Column:
     return F.when(key >= F.lit(edges[middle][1]), _search(key, edges[middle:])).otherwise(_search(key, edges[:middle]))
 
 
-def assign(df: DataFrame, dims: list[str], shards: int, law: str = "rows", bits: int = 6, size: str | None = None) -> DataFrame:
+def assign(df: DataFrame, dims: list[str], shards: int, law: str = "rows", bits: int = 6, size: str | None = None, ties: list[str] | None = None) -> DataFrame:
     """Give every row a shard and a place in it (``shard``, ``slot``), and its cell's index (``curve``).
 
     Under the law ``rows`` counts of rows differ by one at most; under ``bytes`` each shard gets
     the rows of which the sizes before them (whole numbers in the column ``size``) fill the shards
-    before it, so that sums differ by one row at most. Rows of one cell are ordered by their other
-    columns' hash, then by a number, so that repeated rows and a hot cell are dealt out over
-    ranges and shards like others. Nulls count as smallest values. With fewer rows than shards some stay
+    before it, so that sums differ by one row at most. Rows of one cell are ordered by the
+    columns ``ties`` (without them by the hash of all columns), then by a number, so that repeated
+    rows and a hot cell are dealt out over ranges and shards like others. Nulls count as smallest values. With fewer rows than shards some stay
     empty, as all do of an empty table. Columns named shard, slot and curve are replaced.
     """
     if law not in ("rows", "bytes") or (law == "bytes" and size is None):
@@ -144,7 +144,8 @@ def assign(df: DataFrame, dims: list[str], shards: int, law: str = "rows", bits:
     parts = [part for pair, c in zip(keys, dims, strict=True) for part in zip(pair, _coarse(df, c), strict=True)]
     inner = [c for c in df.columns if c.lower() not in ("shard", "slot", "curve")]
     columns = [f"`{c}`" for c in inner]
-    kept = df.select(*columns, F.xxhash64(*columns).alias(tie), *[value.alias(name) for name, value in parts])
+    told = F.struct(*[f"`{c}`" for c in ties]) if ties else F.xxhash64(*columns)
+    kept = df.select(*columns, told.alias(tie), *[value.alias(name) for name, value in parts])
     kept = durable(kept.withColumn(row, F.monotonically_increasing_id()), "rows")  # bins are told by it, and rows that tie
     binned = kept.withColumns(dict(zip(bins, _bins(kept, keys, bits), strict=True)))
     indexed = binned.select(*columns, tie, row, curve_index([F.col(b) for b in bins], bits).alias("curve"))
