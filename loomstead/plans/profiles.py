@@ -54,7 +54,7 @@ def hourly_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     hours = events.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count_distinct("user_id").alias("users"), F.max("event_id").alias("last_id"), F.max("value").alias("peak"))
     found = fill_gaps(hours, ("event_type",), "hour", 3600, {"users": "zero", "last_id": "before", "peak": "line"})
-    return found.select("event_type", "hour", "users", "last_id", F.round("peak", 4).alias("peak"), "filled")
+    return found.select("event_type", "hour", "users", "last_id", "peak", "filled")
 
 
 def view_click_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ SQL = {
             SELECT *, last_value(last_id IGNORE NULLS) OVER b AS carried, last_value(peak IGNORE NULLS) OVER b AS low, first_value(peak IGNORE NULLS) OVER a AS high,
                 epoch(last_value(point IGNORE NULLS) OVER b) AS x, epoch(first_value(point IGNORE NULLS) OVER a) AS y
             FROM both_ WINDOW b AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-        SELECT event_type, hour, coalesce(users, 0) AS users, carried AS last_id, round(CASE WHEN x = y THEN low ELSE low + (high - low) * ((epoch(hour) - x) / 3600) / ((y - x) / 3600) END, 4) AS peak, users IS NULL AS filled FROM near
+        SELECT event_type, hour, coalesce(users, 0) AS users, carried AS last_id, CASE WHEN x = y THEN low ELSE low + (high - low) * ((epoch(hour) - x) / 3600) / ((y - x) / 3600) END AS peak, users IS NULL AS filled FROM near
     """,
     "view_click_paths": """
         SELECT user_id, a AS view_1, b AS click_2, c AS any_3 FROM (
