@@ -12,25 +12,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstead.llm import text as tx
+from loomstead.llm.storage import durable
+from loomstead.operators.running import number_rows
 
 UNDETERMINED = "und"
 #: N-grams that are hashed at a time, so that a long text takes no more memory than a slice of short ones.
 BLOCK_CHARS = 1 << 19
 #: Languages whose counts one task holds before it hands them on.
 HELD_LANGUAGES = 32
+#: Languages that are collected, broadcast and scored at a time.
+PART_LANGUAGES = 128
 
 
 @dataclass
-class LanguageModel:
-    """Log-probabilities of ``buckets`` hashed n-grams for each language, in name order.
-
-    Its size is ``len(languages) * buckets`` floats whatever the corpus.
-    """
+class ModelPart:
+    """Log-probabilities of the hashed n-grams for some languages, in name order."""
 
     languages: list[str]
     log_prior: np.ndarray
     log_prob: np.ndarray
+
+
+@dataclass
+class LanguageModel:
+    """Counted n-grams of every language in shared storage, read a part at a time.
+
+    The driver and each task hold one part, ``PART_LANGUAGES`` times ``buckets`` floats, however many languages there are.
+    """
+
+    table: DataFrame
+    parts: int
+    prior_total: int
+    buckets: int
     orders: tuple[int, ...]
+    smoothing: float
+
+    @property
+    def languages(self) -> list[str]:
+        """All names, in order; prediction doesn't need them together."""
+        return [r.label for r in self.table.select("label").orderBy("label").collect()]
+
+    def part(self, k: int) -> ModelPart:
+        rows = self.table.where(F.col("part") == k).orderBy("label").toArrow()
+        names, prior, prob = rows["label"].to_pylist(), [], np.empty((rows.num_rows, self.buckets), np.float32)
+        for i in range(rows.num_rows):
+            bucket, n = (rows[c][i].values.to_numpy(zero_copy_only=False) for c in ("buckets", "counts"))
+            grams = np.zeros(self.buckets + 1)
+            grams[bucket] = n
+            prior.append(np.log((grams[self.buckets] + 1) / self.prior_total))
+            grams = grams[: self.buckets] + self.smoothing
+            prob[i] = np.log(grams / max(grams.sum(), 1e-300))
+        return ModelPart(names, np.array(prior), prob)
 
 
 def _code_points(part: pa.RecordBatch, column: str) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -58,15 +90,13 @@ def hashed_ngrams(points: np.ndarray, offsets: np.ndarray, order: int, buckets:
         yield ((total[inside] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), owner[inside]
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = 1 << 16, orders: tuple[int, ...] = (2, 3), smoothing: float = 0.1, max_languages: int = 128) -> LanguageModel:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = 1 << 16, orders: tuple[int, ...] = (2, 3), smoothing: float = 0.1) -> LanguageModel:
     """Count n-grams of every row that has a language and a text; each task sums before Spark does.
 
-    Null languages and null texts are left out. An empty table gives a model without
-    languages. Only the ``max_languages`` most frequent languages are learned (of equally
-    frequent ones the first by name), which bounds the model however dirty the column is.
+    Every language is learned, however many the column holds. Null languages and null texts
+    are left out. An empty table gives a model without languages. Counts stay in shared storage, a row a language.
     """
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    top = [r["l"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect()]
     schema = "label string, bucket int, n long"
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,71 +109,110 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
             table.clear()
 
         for part in tx.slices(batches, "t"):
-            labels = part.column("l").to_pylist()
-            names = sorted(set(labels))
-            code = {name: i for i, name in enumerate(names)}
-            of = np.array([code[x] for x in labels], np.int64)
+            names, of = np.unique(np.array(part.column("l").to_pylist(), object), return_inverse=True)
+            texts = np.bincount(of)
             _, points, offsets = _code_points(part, "t")
-            for name in names:
-                table.setdefault(name, np.zeros(buckets + 1, np.int64))[buckets] += labels.count(name)
-            for order in orders:
-                for bucket, owner in hashed_ngrams(points, offsets, order, buckets):
-                    for k, name in enumerate(names):
-                        table[name][:buckets] += np.bincount(bucket[of[owner] == k], minlength=buckets)
-            if len(table) > HELD_LANGUAGES:
-                yield from told()
+            for low in range(0, len(names), HELD_LANGUAGES):
+                some = names[low : low + HELD_LANGUAGES]
+                sums = np.zeros((len(some), buckets + 1), np.int64)
+                sums[:, buckets] = texts[low : low + len(some)]
+                for order in orders:
+                    for bucket, owner in hashed_ngrams(points, offsets, order, buckets):
+                        mine = of[owner] - low
+                        inside = (mine >= 0) & (mine < len(some)) if len(some) < len(names) else slice(None)
+                        sums[:, :buckets] += np.bincount(mine[inside] * buckets + bucket[inside], minlength=len(some) * buckets).reshape(len(some), buckets)
+                for name, own in zip(some, sums, strict=True):
+                    table[name] = table[name] + own if name in table else own
+                if len(table) > HELD_LANGUAGES:
+                    yield from told()
         yield from told()
         tx.give_back()
 
-    found = rows.where(F.col("l").isin(top)).mapInArrow(count, schema).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(found["label"].unique())
-    counts = np.zeros((len(languages), buckets + 1))
-    counts[found["label"].map({x: i for i, x in enumerate(languages)}).to_numpy(int), found["bucket"].to_numpy(int)] = found["n"].to_numpy(float)
-    grams = counts[:, :buckets] + smoothing
-    prior = counts[:, buckets] + 1
-    return LanguageModel(languages, np.log(prior / max(prior.sum(), 1)), np.log(grams / np.maximum(grams.sum(1, keepdims=True), 1e-300)).astype(np.float32), orders)
+    counted = rows.mapInArrow(count, schema).groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    packed = counted.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("grams"))
+    packed = packed.select("label", F.col("grams.bucket").alias("buckets"), F.col("grams.n").alias("counts"))
+    table = number_rows(packed, [F.col("label")], "place").withColumn("part", F.expr(f"place div {PART_LANGUAGES}"))
+    texts = F.when(F.element_at("buckets", -1) == buckets, F.element_at("counts", -1)).otherwise(0)  # the last count is that of texts
+    languages, total = table.agg(F.count("*"), F.sum(texts)).first()
+    return LanguageModel(table, -(-languages // PART_LANGUAGES), (total or 0) + languages, buckets, orders, smoothing)
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Add the likeliest language and its posterior to every row.
+def _lettered(texts: list[str], points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter; most are told by one from a to z."""
+    ascii_letter = np.zeros(128, bool)
+    ascii_letter[97:123] = True
+    plain = np.concatenate([[0], np.cumsum(ascii_letter[np.minimum(points, 127)] & (points < 128))])
+    found = plain[offsets[1:]] > plain[offsets[:-1]]
+    for i in np.flatnonzero(~found):
+        found[i] = any(c.isalpha() for c in texts[i])
+    return found
 
-    A null or empty text, one without a letter, and any text under a model without
-    languages get ``und`` and 0.0. Equal posteriors go to the first name in order. Repeated
-    rows are predicted one by one, an empty table gives an empty one. N-grams of a long text
-    are summed block by block; it takes about ten bytes a character besides.
-    Existing columns named like the new ones are replaced; others pass through.
+
+def _score(docs: DataFrame, part: ModelPart, orders: tuple[int, ...], text: str, held: tuple[str, str, str], first: bool) -> DataFrame:
+    """Add or bring up to date the likeliest language so far, its log-probability, and all others' sum as a share of it.
+
+    A text without a letter has no likeliest language from the first part on.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(part)
 
     def make():
-        model = shared.value
-        buckets = model.log_prob.shape[1] if model.languages else 0
-
-        def step(part: pa.RecordBatch) -> list[pa.Array]:
-            n = part.num_rows
-            texts, points, offsets = _code_points(part, text)
-            if not model.languages:
-                return [pa.array([UNDETERMINED] * n), pa.array(np.zeros(n))]
-            total = np.repeat(model.log_prior[:, None], n, 1)
-            for order in model.orders:
+        part = shared.value
+        buckets = part.log_prob.shape[1]
+
+        def step(rows: pa.RecordBatch) -> list[pa.Array]:
+            n = rows.num_rows
+            texts, points, offsets = _code_points(rows, text)
+            total = np.repeat(part.log_prior[:, None], n, 1)
+            for order in orders:
                 for bucket, owner in hashed_ngrams(points, offsets, order, buckets):
-                    for k in range(len(model.languages)):
-                        total[k] += np.bincount(owner, weights=model.log_prob[k][bucket], minlength=n)
+                    for k in range(len(part.languages)):
+                        total[k] += np.bincount(owner, weights=part.log_prob[k][bucket], minlength=n)
             best = total.argmax(0)
-            posterior = 1 / np.exp(total - total.max(0)).sum(0)
-            ascii_letter = np.zeros(128, bool)
-            ascii_letter[97:123] = True
-            plain = np.concatenate([[0], np.cumsum(ascii_letter[np.minimum(points, 127)] & (points < 128))])
-            lettered = plain[offsets[1:]] > plain[offsets[:-1]]
-            for i in np.flatnonzero(~lettered):
-                lettered[i] = any(c.isalpha() for c in texts[i])
-            names = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
-            return [pa.array(names, pa.string()), pa.array(np.where(lettered, posterior, 0.0))]
+            top = total[best, np.arange(n)]
+            share = np.exp(total - top).sum(0)
+            names = [part.languages[b] for b in best]
+            if first:
+                names = [a if ok else None for a, ok in zip(names, _lettered(texts, points, offsets), strict=True)]
+            else:
+                name, was, rest = (rows.column(c) for c in held)
+                was, rest = was.to_numpy(zero_copy_only=False), rest.to_numpy(zero_copy_only=False)
+                new = top > was  # of equal ones the first by name stays
+                share = np.where(new, share + rest * np.exp(np.minimum(was - top, 0)), rest + share * np.exp(np.minimum(top - was, 0)))
+                names = [a if later and b is not None else b for a, b, later in zip(names, name.to_pylist(), new, strict=True)]
+                top = np.maximum(top, was)
+            return [pa.array(names, pa.string()), pa.array(top), pa.array(share)]
 
         return step
 
-    fields = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]
-    return tx.append_columns(docs, fields, make, text)
+    fields = [T.StructField(held[0], T.StringType()), T.StructField(held[1], T.DoubleType()), T.StructField(held[2], T.DoubleType())]
+    if first:
+        return tx.append_columns(docs, fields, make, text)
+    after = [T.StructField(f"{f.name}_", f.dataType) for f in fields]
+    scored = tx.append_columns(docs, after, make, text)
+    return scored.drop(*held).withColumnsRenamed({f"{c}_": c for c in held})
+
+
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Add the likeliest language and its posterior to every row.
+
+    A null or empty text, one without a letter, and any text under a model without
+    languages get ``und`` and 0.0. Equal posteriors go to the first name in order. Repeated
+    rows are predicted one by one, an empty table gives an empty one. N-grams of a long text
+    are summed block by block; it takes about ten bytes a character besides. With more than
+    ``PART_LANGUAGES`` languages the rows are scored by each part of the model in turn, and written in between.
+    Existing columns named like the new ones are replaced; others pass through.
+    """
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in (pred, score)])
+    held = tuple(tx.unused(kept, c) for c in ("language", "likely", "share"))
+    scored = kept
+    for k in range(model.parts):
+        scored = _score(scored, model.part(k), model.orders, text, held, k == 0)
+        if k < model.parts - 1:
+            scored = durable(scored, "languages")
+    if not model.parts:
+        return kept.withColumns({pred: F.lit(UNDETERMINED), score: F.lit(0.0)})
+    found = {pred: F.coalesce(held[0], F.lit(UNDETERMINED)), score: F.when(F.col(held[0]).isNotNull(), 1 / F.col(held[2])).otherwise(0.0)}
+    return scored.withColumns(found).drop(*held)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, text: str = "text") -> DataFrame:

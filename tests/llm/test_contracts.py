@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomstead.llm import bpe, langid, lattice, ngramjoin, risk_rules, secrets, suffix
@@ -100,8 +101,28 @@ def test_op8_equals_plain_naive_bayes(spark, awkward):
         assert r.score == pytest.approx(1 / sum(math.exp(s - best) for s in score.values()), abs=1e-2)
 
 
-def test_languages_are_bounded(awkward):
-    assert len(langid.fit(awkward, max_languages=1).languages) == 1
+def test_hundreds_of_languages_are_learned_in_parts(spark, monkeypatch):
+    """300 languages in parts of 64: the same predictions, to the digit that sums allow, as with one part."""
+    rng = np.random.default_rng(5)
+    letters = [chr(0x61 + k) for k in range(26)] + [chr(0x430 + k) for k in range(32)]
+    rows = []
+    for i in range(300):
+        own = rng.choice(letters, 6, replace=False)
+        rows += [(i * 4 + k, " ".join("".join(rng.choice(own, 5)) for _ in range(40)), f"l{i:03}") for k in range(4)]
+    rows += [(5000, None, "l000"), (5001, "123 !", "l001"), (5002, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    monkeypatch.setattr(langid, "PART_LANGUAGES", 1000)
+    whole = langid.fit(docs, buckets=1024)
+    assert whole.parts == 1 and len(whole.languages) == 301 - 1
+    want = {r.doc_id: r for r in langid.predict(docs, whole).collect()}
+    monkeypatch.setattr(langid, "PART_LANGUAGES", 64)
+    model = langid.fit(docs, buckets=1024)
+    assert model.parts == 5 and model.languages == sorted({x for _, t, x in rows if t is not None and x})
+    got = {r.doc_id: r for r in langid.predict(docs.withColumn("__language", F.lit("x")), model).collect()}
+    for k, r in want.items():
+        assert got[k].lang_pred == r.lang_pred and got[k].score == pytest.approx(r.score, abs=1e-9)
+    assert sum(want[k].lang_pred == x for k, t, x in rows if t and x and k < 5000) > 1150
+    assert {want[k].lang_pred for k in (5000, 5001, 5002)} == {"und"}
 
 
 def test_op10_components(spark, texts):
