@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +21,6 @@ _UPPER[65:91] = True
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 REPEAT_WINDOW = 8
-#: Strata that get cutoffs at most, as each is a row of a broadcast table and of the driver's memory.
-MAX_STRATA = 1000
 
 
 def _repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,19 +88,21 @@ def _ratio(over: Column, under: str) -> Column:
     return F.when(F.col(under) > 0, over / F.col(under)).otherwise(0.0)
 
 
-def rules() -> dict[str, tuple[Column, list[float]]]:
-    """Rule name: a score that is high for bad text, and candidate cutoffs from strict to lenient.
+_SHARES = [round(0.005 * 1.35**i, 6) for i in range(18)]
+#: Candidate cutoffs of each rule, from strict to lenient; fixed before any label is seen, as the correction needs.
+GRIDS = {"symbols": _SHARES, "dup_lines": _SHARES, "repeats": _SHARES, "capitals": _SHARES, "long_words": [float(x) for x in range(5, 20)]}
 
-    The grids are fixed before any label is seen, as the correction below needs.
-    """
-    grid = [round(0.005 * 1.35**i, 6) for i in range(18)]
-    return {
-        "symbols": (_ratio(F.col("n_symbols").cast("double"), "word_chars"), grid),
-        "dup_lines": (_ratio(F.col("n_dup_lines").cast("double"), "n_lines"), grid),
-        "repeats": (_ratio(F.col("n_repeat_words").cast("double"), "n_words"), grid),
-        "capitals": (_ratio(F.col("n_upper").cast("double"), "word_chars"), grid),
-        "long_words": (_ratio(F.col("word_chars").cast("double"), "n_words"), [float(x) for x in range(5, 20)]),
+
+def rules() -> dict[str, tuple[Column, list[float]]]:
+    """Rule name: a score that is high for bad text, and its candidate cutoffs."""
+    scores = {
+        "symbols": _ratio(F.col("n_symbols").cast("double"), "word_chars"),
+        "dup_lines": _ratio(F.col("n_dup_lines").cast("double"), "n_lines"),
+        "repeats": _ratio(F.col("n_repeat_words").cast("double"), "n_words"),
+        "capitals": _ratio(F.col("n_upper").cast("double"), "word_chars"),
+        "long_words": _ratio(F.col("word_chars").cast("double"), "n_words"),
     }
+    return {name: (score, GRIDS[name]) for name, score in scores.items()}
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -147,18 +147,6 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-@dataclass
-class Cutoff:
-    """``n_rejected`` good documents fail this rule; ``bound`` is that of all rules of the stratum together."""
-
-    stratum: str | None
-    rule: str
-    cutoff: float
-    n_good: int
-    n_rejected: int
-    bound: float
-
-
 def _tighten(steps: np.ndarray, count: np.ndarray, risk: float, delta: float) -> dict[str, tuple[float, int, float]]:
     """Cutoff, rejected documents and bound of each rule that is used in one stratum.
 
@@ -170,14 +158,13 @@ def _tighten(steps: np.ndarray, count: np.ndarray, risk: float, delta: float) ->
     is one of at most C(proposals, m) fixed sequences, by where the failures were. Each of
     those is tested at ``delta / 2**(m + 1) / C(proposals, m)``, which adds up to less than ``delta``.
     """
-    family = rules()
     n = int(count.sum())
-    proposals = sum(len(grid) for _, grid in family.values())
+    proposals = sum(map(len, GRIDS.values()))
     level = lambda m: delta / 2 ** (m + 1) / math.comb(proposals, m)
-    now = np.zeros(len(family), np.int64)
+    now = np.zeros(len(GRIDS), np.int64)
     stopped: list[int] = []
-    for step in range(1, 1 + max(len(grid) for _, grid in family.values())):
-        for r, (_, grid) in enumerate(family.values()):
+    for step in range(1, 1 + max(map(len, GRIDS.values()))):
+        for r, grid in enumerate(GRIDS.values()):
             if r in stopped or step > len(grid):
                 continue
             tried = now.copy()
@@ -188,58 +175,53 @@ def _tighten(steps: np.ndarray, count: np.ndarray, risk: float, delta: float) ->
             else:
                 stopped.append(r)
     bound = upper_bound(*passed) if now.any() else 1.0
-    return {name: (grid[-now[r]], int(count[steps[:, r] <= now[r]].sum()), bound) for r, (name, (_, grid)) in enumerate(family.items()) if now[r]}
+    return {name: (grid[-now[r]], int(count[steps[:, r] <= now[r]].sum()), bound) for r, (name, grid) in enumerate(GRIDS.items()) if now[r]}
 
 
-def select_cutoffs(labelled: DataFrame, stratum: str, risk: float = 0.02, delta: float = 0.05) -> list[Cutoff]:
+def select_cutoffs(labelled: DataFrame, stratum: str, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Strict cutoffs of the rules in each stratum with a guaranteed false rejection rate.
 
     ``labelled`` holds good held-out documents with METRICS. With probability ``1 - delta``
     the chosen cutoffs of every stratum together reject at most ``risk`` of its good
     documents: each stratum is tested at ``delta`` over the number of strata, as
     :func:`_tighten` tells. A stratum with too few good documents for any cutoff gets none,
-    isn't counted among the strata, and so keeps everything; so do strata beyond the
-    ``MAX_STRATA`` with the most good documents. Per stratum one count of each met combination of grid places
-    reaches the driver, however many documents there are.
+    isn't counted among the strata, and so keeps everything. Returns stratum, rule, cutoff, n_good, n_rejected
+    (good documents that fail this rule alone) and bound (of all the stratum's rules together).
+
+    Strata are tested in tasks of their own, each on one count of every met combination of grid places: no more than the
+    grids' product, however many documents a stratum has. The driver only gets the number of strata.
     """
     family = rules()
     least = math.ceil(math.log(delta) / math.log1p(-risk))  # with fewer, not even a single stratum could be certain of anything
     # tightenings from which a score is rejected: cutoffs are tried from the last of the grid to the first
-    place = [(F.lit(len(grid) + 1) - sum((F.when(score > c, 1).otherwise(0) for c in grid), F.lit(0))).alias(f"__{name}") for name, (score, grid) in family.items()]
-    placed = labelled.select(F.col(stratum).alias("__stratum"), *place)
-    sizes = [(r["__stratum"], r["n"]) for r in placed.groupBy("__stratum").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "__stratum").limit(MAX_STRATA).collect()]
-    wanted = F.lit(False)
-    for name, _ in sizes:
-        wanted |= F.col("__stratum").eqNullSafe(F.lit(name))
-    rows = placed.where(wanted).groupBy("__stratum", *[f"__{name}" for name in family]).agg(F.count("*").alias("__n")).collect() if sizes else []
-    cells: dict[str | None, list] = {}
-    for row in rows:
-        cells.setdefault(row["__stratum"], []).append(row[1:])
-    chosen = []
-    for of, found in cells.items():
-        table = np.array(found, np.int64)
-        cutoffs = _tighten(table[:, :-1], table[:, -1], risk, delta / len(cells))
-        chosen += [Cutoff(of, name, c, int(table[:, -1].sum()), k, bound) for name, (c, k, bound) in cutoffs.items()]
-    return chosen
-
-
-def apply_cutoffs(measured: DataFrame, cutoffs: list[Cutoff], stratum: str, flag: str = "kept") -> DataFrame:
-    """Add ``flag``: true unless the base rules or a chosen cutoff of the row's stratum reject it."""
+    place = [(F.lit(len(grid) + 1) - sum((F.when(score > c, 1).otherwise(0) for c in grid), F.lit(0))).alias(f"r{i}") for i, (score, grid) in enumerate(family.values())]
+    steps = [f"r{i}" for i in range(len(family))]
+    cells = durable(labelled.select(F.col(stratum).cast("string").alias("stratum"), *place).groupBy("stratum", *steps).agg(F.count("*").alias("n")), "cells")
+    able = cells.groupBy("stratum").agg(F.sum("n").alias("good")).where(F.col("good") >= least).select(F.col("stratum").alias("able"))
+    strata = max(able.count(), 1)
+
+    def choose(found: pd.DataFrame) -> pd.DataFrame:
+        chosen = _tighten(found[steps].to_numpy(np.int64), found["n"].to_numpy(np.int64), risk, delta / strata)
+        rows = [(found["stratum"].iloc[0], name, c, int(found["n"].sum()), k, bound) for name, (c, k, bound) in chosen.items()]
+        return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff", "n_good", "n_rejected", "bound"])
+
+    mine = cells.join(able, F.col("stratum").eqNullSafe(F.col("able")), "left_semi")
+    return durable(mine.groupBy("stratum").applyInPandas(choose, "stratum string, rule string, cutoff double, n_good long, n_rejected long, bound double"), "cutoffs")
+
+
+def apply_cutoffs(measured: DataFrame, cutoffs: DataFrame, stratum: str, flag: str = "kept") -> DataFrame:
+    """Add ``flag``: true unless the base rules or a chosen cutoff of the row's stratum reject it. A column of that name is replaced."""
     family = rules()
-    spark = measured.sparkSession
-    by_stratum: dict[str | None, dict[str, float]] = {}
-    for c in cutoffs:
-        by_stratum.setdefault(c.stratum, {})[c.rule] = c.cutoff
-    schema = "__stratum string, " + ", ".join(f"__{r} double" for r in family)
-    table = spark.createDataFrame([(s, *[x.get(r, math.inf) for r in family]) for s, x in by_stratum.items()], schema)
+    of, *limits = (tx.unused(measured, c) for c in ("of", *family))
+    wide = cutoffs.groupBy(F.col("stratum").alias(of)).agg(*[F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(c) for rule, c in zip(family, limits, strict=True)])
     rejected = F.lit(False)
-    for name, (score, _) in family.items():
-        rejected |= F.coalesce(score > F.col(f"__{name}"), F.lit(False))
-    joined = measured.join(table, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
-    return joined.withColumn(flag, ~base_failed() & ~rejected).drop(*table.columns)
+    for (score, _), limit in zip(family.values(), limits, strict=True):
+        rejected |= F.coalesce(score > F.col(limit), F.lit(False))
+    joined = measured.join(wide, F.col(f"`{stratum}`").cast("string").eqNullSafe(F.col(of)), "left")
+    return joined.withColumn(flag, ~base_failed() & ~rejected).drop(of, *limits)
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05) -> tuple[DataFrame, list[Cutoff]]:
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Measure every document once, choose cutoffs on the labelled good ones, and apply them.
 
     A document labelled twice is good only if each label says so; null labels aren't good.

@@ -55,12 +55,13 @@ def test_binomial_bounds_are_exact():
 def test_cutoffs_keep_their_guarantee(spark):
     rows = [("a", i, 100, 500, 0 if i % 400 else 200, 0, 0, 5, 10) for i in range(4000)] + [("b", i, 100, 500, 0, 0, 0, 5, 10) for i in range(20)]
     good = spark.createDataFrame(rows, "stratum string, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long")
-    found = risk_rules.select_cutoffs(good, "stratum", risk=0.05)
+    chosen = risk_rules.select_cutoffs(good, "stratum", risk=0.05)
+    found = chosen.collect()
     assert {c.stratum for c in found} == {"a"}  # too few rows in b for any certainty
     assert all(c.bound <= 0.05 / len(risk_rules.rules()) for c in found)
     symbols = next(c for c in found if c.rule == "symbols")
     assert symbols.n_rejected / symbols.n_good <= 0.01
-    judged = risk_rules.apply_cutoffs(good, found, "stratum")
+    judged = risk_rules.apply_cutoffs(good, chosen, "stratum")
     assert judged.where("stratum = 'b' and not kept").count() == 0
 
 
@@ -68,12 +69,39 @@ def test_small_strata_get_cutoffs(spark):
     sizes = {"en": 2076, "de": 507, "fr": 505, "es": 321, "it": 100}
     rows = [(lang, 100, 500, 0, 0, 0, 5, 10) for lang, n in sizes.items() for _ in range(n)]
     good = spark.createDataFrame(rows, "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long")
-    found = risk_rules.select_cutoffs(good, "stratum")
+    found = risk_rules.select_cutoffs(good, "stratum").collect()
     assert {c.stratum for c in found} == {"en", "de", "fr", "es"}
     assert all(c.bound <= 0.02 for c in found)
     assert {(c.stratum, c.rule) for c in found} >= {(lang, rule) for lang in ("en", "de", "fr", "es") for rule in ("symbols", "capitals")}
 
 
+def test_thousands_of_strata(spark):
+    """Every stratum of 3,000 is tested; cutoffs and verdicts are those of a walk in plain Python."""
+    names = [None, *(f"s{i}" for i in range(2999))]
+    rows = [(x, 100, 500, (i * 37 + k) % 400 if k % 97 == 0 else 0, k % 11 == 0, 0, 5, 10) for i, x in enumerate(names) for k in range(420 if i % 300 == 0 else 200)]
+    rows = [(s, *map(int, r)) for s, *r in rows]
+    good = spark.createDataFrame(rows, "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long")
+    good = good.withColumns({"__of": F.lit("x"), "of": F.lit("x"), "kept": F.lit("x")})
+    chosen = risk_rules.select_cutoffs(good, "stratum", risk=0.08)
+    got = {}
+    for c in chosen.collect():
+        got.setdefault(c.stratum, {})[c.rule] = (c.cutoff, c.n_rejected, c.bound)
+        assert c.bound <= 0.08
+    family = risk_rules.rules()
+    for i in (0, 1, 299, 300, 2999):
+        mine = [r for r in rows if r[0] == names[i]]
+        scores = [[s / c, d / n, p / w, u / c, c / w] for _, w, c, s, d, p, n, u in mine]
+        steps = np.array([[len(grid) + 1 - sum(x > g for g in grid) for x, (_, grid) in zip(own, family.values(), strict=True)] for own in scores], np.int64)
+        want = risk_rules._tighten(steps, np.ones(len(steps), np.int64), 0.08, 0.05 / len(names))
+        assert got.get(names[i], {}) == {k: (c, n, pytest.approx(b)) for k, (c, n, b) in want.items()}
+    assert len(got) > 5 and None in got
+    judged = risk_rules.apply_cutoffs(good, chosen, "stratum").where("stratum is null").collect()
+    limit = {rule: c for rule, (c, _, _) in got[None].items()}
+    for r in judged:
+        own = dict(zip(family, [r.n_symbols / r.word_chars, r.n_dup_lines / r.n_lines, r.n_repeat_words / r.n_words, r.n_upper / r.word_chars, r.word_chars / r.n_words], strict=True))
+        assert r.kept == (not any(own[rule] > c for rule, c in limit.items())) and r["of"] == r["__of"] == "x"
+
+
 def test_all_rules_together_keep_the_risk():
     """Over many samples, cutoffs whose true risk is too high are chosen as rarely as promised."""
     rng = np.random.default_rng(3)
