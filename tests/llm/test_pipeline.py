@@ -60,3 +60,24 @@ def test_stages_on_an_empty_table(spark, empty):
     for name, stage in corpus_pipeline.STAGES:
         docs = durable(stage(spark, docs, "unused"), name)
     assert docs.count() == 0
+
+
+def test_masked_texts_come_back_from_the_packed_table(spark, clashing):
+    """Token ids of all pieces, put together by row, are the texts of the stage before."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = durable(clashing, "docs")
+    for name, stage in corpus_pipeline.STAGES[2:]:
+        before, docs = docs, durable(stage(spark, docs, "unused"), name)
+    rows = {}
+    for r in docs.collect():
+        rows.setdefault((r.doc_id, r.row_id), []).append(r)
+        assert len(r.ids) == r.length <= 1024 and r.offset + r.length <= 1024
+    texts = []
+    for (doc_id, _), pieces in rows.items():
+        ids = [i for r in sorted(pieces, key=lambda r: r.piece) for i in r.ids]
+        assert ids[-1] == corpus_pipeline.END_ID and [r.piece for r in sorted(pieces, key=lambda r: r.piece)] == list(range(len(pieces)))
+        texts.append((str(doc_id), library.decode(ids[:-1], skip_special_tokens=False)))
+    assert sorted(texts) == sorted((str(r.doc_id), r.text or "") for r in before.collect())
