@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomstead.llm import langid, ngramjoin, packing, secrets, suffix
 from loomstead.llm.storage import durable
@@ -16,30 +17,45 @@ CAPACITY = 1024
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language can't be told: null or letterless texts, and posteriors under one half.
 
-    The model learns from the documents' own texts and non-null languages.
+    The model learns from the documents' own texts and non-null languages. Long texts count whole; of an empty table nothing stays.
     """
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row, of the smallest id, of each group that word 5-gram similarity of 0.75 or more connects."""
+    """Keep one row, of the smallest id, of each group that word 5-gram similarity of 0.75 or more connects.
+
+    Rows without words stay. Whole texts are compared, long ones too; an empty table stays empty.
+    """
     return ngramjoin.keep_one(docs)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every 400-byte string that occurs twice out of the texts; no document goes."""
+    """Cut every 400-byte string that occurs twice out of the texts; no document goes.
+
+    Repeated rows lose what they share, in each; null texts and an empty table stay as they are.
+    """
     return suffix.remove_repeats(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask secrets in the texts; no document goes. The models are trained on these documents."""
+    """Mask secrets in the texts; no document goes. The models are trained on these documents.
+
+    Null and empty texts stay; with no secrets to learn from, as in an empty table, only the fixed patterns are masked.
+    """
     model = secrets.fit(secrets.labelled_tokens(docs))
     return secrets.redact(docs, model)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place every document's pieces in sequences of 1024 tokens."""
-    return packing.pack(packing.pieces(docs, BYTE_BPE, END_ID, CAPACITY), CAPACITY)
+    """Place every document's pieces in sequences of 1024 tokens, each with its token ids.
+
+    ``row_id`` tells the rows of ``docs`` apart where ids are null or repeated, so that every text can be
+    put together again. Repeated rows are packed one by one, a null or empty text is its end
+    token alone, and of an empty table nothing is packed.
+    """
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
+    return packing.pack(packing.pieces(rows, BYTE_BPE, END_ID, CAPACITY, carry=("doc_id", "row_id"), with_ids=True), CAPACITY)
 
 
 STAGES = [
