@@ -15,6 +15,10 @@ from loomstead.llm import text as tx
 from loomstead.llm.storage import durable
 
 
+#: Root of the number of features at which a text's weight is the sum of their log ratios.
+STRENGTH = 8.0
+
+
 @dataclass
 class RatioModel:
     """``log p_target - log p_raw`` of each hashed bucket; ``2 ** bits`` floats whatever the corpus."""
@@ -59,8 +63,14 @@ def fit(docs: DataFrame, target: str, text: str = "text", bits: int = 16, smooth
     return RatioModel(np.log(good / good.sum()) - np.log(raw / raw.sum()))
 
 
-def weigh(docs: DataFrame, model: RatioModel, text: str = "text", weight: str = "log_weight") -> DataFrame:
-    """Add each text's log importance weight; a null or wordless text weighs 0."""
+def weigh(docs: DataFrame, model: RatioModel, text: str = "text", weight: str = "log_weight", strength: float = STRENGTH) -> DataFrame:
+    """Add each text's log importance weight: ``strength * sum / sqrt(n)`` over the log ratios of its n features.
+
+    The plain sum grows with the text's length, which would decide alone, and is so large that the sampling's noise
+    does next to nothing; the mean forgets how much evidence a long text is. Between them, a text of ``strength ** 2``
+    features weighs its plain sum, longer ones less and shorter ones more. A null or wordless text weighs 0. A
+    column named like the weight is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -68,7 +78,8 @@ def weigh(docs: DataFrame, model: RatioModel, text: str = "text", weight: str =
 
         def step(part: pa.RecordBatch) -> list[pa.Array]:
             bucket, owner = _features(part, text, len(table))
-            return [pa.array(np.bincount(owner, weights=table[bucket], minlength=part.num_rows).astype(np.float64))]
+            total, n = (np.bincount(owner, weights=w, minlength=part.num_rows) for w in (table[bucket], None))
+            return [pa.array(strength * total / np.sqrt(np.maximum(n, 1)))]
 
         return step
 
@@ -130,9 +141,11 @@ def mark_target(docs: DataFrame, labels: DataFrame, max_labels: int = 100_000, f
 
     The models' target text comes from at most ``max_labels`` good labels (those of the least
     hashed ids), which bounds what is broadcast. A document labelled twice is good only if
-    every label says so; labels with nulls count as not good.
+    every label says so; labels with nulls count as not good. A column named like the flag is replaced;
+    of an empty table nothing is flagged, and without labels the share is 0.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("good"))
     share = good.agg(F.avg(F.col("good").cast("int"))).first()[0]
-    chosen = good.where("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).select(F.col("doc_id").alias("__id"), F.lit(True).alias(flag))
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left").drop("__id"), float(share or 0.0)
+    key = tx.unused(docs, "id")
+    chosen = good.where("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).select(F.col("doc_id").alias(key), F.lit(True).alias(flag))
+    return docs.drop(flag).join(F.broadcast(chosen), F.col("doc_id") == F.col(key), "left").drop(key), float(share or 0.0)

@@ -3,13 +3,16 @@
 import hashlib
 import math
 import re
+import struct
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomstead.llm import importance, langid, risk_rules, secrets
+from loomstead.llm import text as tx
 from loomstead.llm.queries import queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -209,6 +212,44 @@ def test_importance_ranks_good_text_first(spark):
     assert auc > 0.97
 
 
+def test_importance_equals_plain_python(spark):
+    """Share, target flags, models, weights, keys and the rows kept, recomputed; the noise decides more than a few."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    by_id = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        by_id.setdefault(r.doc_id, []).append(r.quality == 1 and r.toxic == 0)
+    good = {i for i, x in by_id.items() if all(x)}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def features(text):
+        words = WORD.findall((text or "").translate(lower))
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        size = np.array([len(w.encode()) for w in words], np.int64)
+        start = np.cumsum(size + 1) - size - 1
+        one = tx.span_hashes(data, start, start + size)  # the library's names of words and pairs
+        two, _ = tx.windows(one, np.zeros(len(one), np.int64), 2)
+        return (np.concatenate([one, two]) >> np.uint64(20)).astype(np.int64) % (1 << 16)
+
+    own = {i: features(t) for i, t in docs.items()}
+    raw = np.ones(1 << 16) + np.bincount(np.concatenate(list(own.values())), minlength=1 << 16)
+    wanted = np.ones(1 << 16) + np.bincount(np.concatenate([f for i, f in own.items() if i in good]), minlength=1 << 16)
+    ratio = np.log(wanted / wanted.sum()) - np.log(raw / raw.sum())
+    weight = {i: 8.0 * math.fsum(ratio[f]) / math.sqrt(max(len(f), 1)) for i, f in own.items()}
+    key = {}
+    for i, w in weight.items():
+        h = xxhash.xxh64_intdigest(struct.pack("<q", i), seed=xxhash.xxh64_intdigest(struct.pack("<i", 17), seed=42))
+        key[i] = w - math.log(-math.log(((h >> 11) + 0.5) / 2**53))
+    k = round(len(good) / len(by_id) * len(docs))
+    kept = set(sorted(key, key=lambda i: -key[i])[:k])
+
+    got = {r.doc_id: r for r in queries()["op1_importance_resampling"](spark, sf).collect()}
+    assert got.keys() == docs.keys()
+    assert all(r.log_weight == pytest.approx(weight[i], abs=1e-9) and r.sample_key == pytest.approx(key[i], abs=1e-9) for i, r in got.items())
+    assert {i for i, r in got.items() if r.kept} == kept
+    assert len(kept - set(sorted(weight, key=lambda i: -weight[i])[:k])) > 3
+
+
 def test_importance_edge_cases(spark, awkward, clashing, empty):
     labels = spark.createDataFrame([(7, 1, 0), (None, 1, 0), (11, None, 0)], "doc_id long, quality int, toxic int")
     marked, share = importance.mark_target(clashing.drop("target"), labels)
