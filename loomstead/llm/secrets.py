@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstead.llm import text as tx
+from loomstead.llm.storage import durable
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -82,7 +83,8 @@ def labelled_tokens(docs: DataFrame, max_docs: int = 20_000, least: int = 8, tex
     Values that the fixed patterns find are secrets, other runs of letters, digits and
     ``+/_=-`` of ``least`` characters or more are ordinary. Generated hexadecimal and base64
     strings stand for random ones in a corpus without secrets. Documents are picked by the
-    hash of their text, so the sample doesn't depend on partitions.
+    hash of their text, so the sample doesn't depend on partitions; rows of one text are
+    all picked or none. The sample is written once, to be counted and scored from there.
     """
     total = docs.count()
     share = min(1.0, max_docs / max(total, 1))
@@ -92,10 +94,13 @@ def labelled_tokens(docs: DataFrame, max_docs: int = 20_000, least: int = 8, tex
         for piece in tx.slices(batches, "t"):
             secret, plain = [], []
             for t in piece.column("t").to_pylist():
-                for s, e, kind in base_spans(t):
+                rest, done = [], 0
+                for s, e, kind in sorted(base_spans(t)):
                     secret.append(_ASSIGN.match(t, s)[2] if kind == "assign" else t[s:e])
-                    t = t[:s] + " " * (e - s) + t[e:]
-                raw = np.frombuffer(t.encode(), np.uint8)
+                    if e > done:  # an access key may stand inside an assignment
+                        rest.append(t[done : max(s, done)])
+                        done = e
+                raw = np.frombuffer(" ".join([*rest, t[done:]]).encode(), np.uint8)
                 start, end = _candidates(raw, np.array([0, len(raw)]), least)
                 body = raw.tobytes()
                 for s, e in zip(start.tolist(), end.tolist(), strict=True):
@@ -105,7 +110,7 @@ def labelled_tokens(docs: DataFrame, max_docs: int = 20_000, least: int = 8, tex
     spark = docs.sparkSession
     made = spark.range(2000).select(F.sha2(F.concat(F.lit("sample"), "id"), 256).alias("h"))
     made = made.select(F.explode(F.array(F.substring("h", 1, 40), F.regexp_replace(F.base64(F.unhex("h")), "=", ""))).alias("token"), F.lit(True).alias("is_secret"))
-    return part.mapInArrow(tokens, "token string, is_secret boolean").unionByName(made)
+    return durable(part.mapInArrow(tokens, "token string, is_secret boolean").unionByName(made), "samples")
 
 
 def _counted(samples: DataFrame) -> DataFrame:
