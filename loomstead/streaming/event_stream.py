@@ -78,12 +78,15 @@ def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def count_users(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Running count and last event of a user, kept over batches in two longs."""
-    n, last = state.get if state.exists else (0, -1)
+    """Running count and largest event id of a user, kept over batches in two longs; without any id the latter is null."""
+    n, last = state.get if state.exists else (0, None)
     for batch in batches:
-        n, last = n + len(batch), max(last, int(batch["event_id"].max()))
+        ids = batch["event_id"].dropna()
+        n += len(batch)
+        if len(ids):
+            last = max(int(ids.max()), int(ids.max()) if last is None else last)
     state.update((n, last))
-    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_id": [last]})
+    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_id": pd.array([last], dtype="Int64")})
 
 
 def user_state(spark: SparkSession, sf_dir: str, files_a_batch: int = 1000) -> DataFrame:

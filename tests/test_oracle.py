@@ -47,7 +47,7 @@ def test_approximate_counts_are_near(spark, sf_dir):
     exact = {tuple(r)[0]: tuple(r)[1] for r in star.distinct_buyers(spark, sf_dir).collect()}
     near = {tuple(r)[0]: tuple(r)[1] for r in star.approximate_buyers(spark, sf_dir).collect()}
     assert exact.keys() == near.keys()
-    assert all(abs(near[k] - exact[k]) <= 0.15 * exact[k] + 1 for k in exact)
+    assert all(abs(near[k] - exact[k]) <= 3 * 0.02 * exact[k] for k in exact)
 
 
 def test_entry_has_every_query(spark):
