@@ -15,13 +15,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstead.llm import text as tx
 from loomstead.llm.bitmap import bitmap, in_bitmap
-from loomstead.llm.storage import discard, durable
+from loomstead.llm.storage import discard, durable, new_path
 
 #: Bits of the bitmap of texts that still have candidates.
 FILTER_BITS = 26
@@ -185,10 +185,18 @@ def _candidates(docs: DataFrame, wanted: DataFrame, spec: RepeatSpec, text: str)
     bodies = docs.select(F.col(text).alias("body")).where(F.col("body").isNotNull()).mapInArrow(run, "name long, body binary")
     bodies = bodies.groupBy("name").agg(F.first("body").alias("body")).join(wanted, "name", "left_semi")
     table = f"loomstead_repeats_{uuid.uuid4().hex}"
-    bodies.repartition(parts, "name").write.format("parquet").bucketBy(parts, "name").sortBy("name").saveAsTable(table)
+    writer = bodies.repartition(parts, "name").write.format("parquet").bucketBy(parts, "name").sortBy("name")
+    writer.option("path", new_path(spark, "bodies")).saveAsTable(table)  # in shared storage, wherever the warehouse is
     return table
 
 
+def _drop(spark: SparkSession, table: str) -> None:
+    """Forget a table of :func:`_candidates` and delete its files."""
+    if spark.catalog.tableExists(table):
+        discard(spark.table(table))
+        spark.sql(f"DROP TABLE {table}")
+
+
 _CELLS = "name long, pos long, low int, size int, open boolean, from int, to int, own long, core long"
 
 
@@ -286,7 +294,7 @@ def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str =
         discard(cores)
         return rows.join(copies, "name", "left"), _extents(bodies, ranges, spec), table
     except BaseException:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        _drop(spark, table)
         raise
 
 
@@ -382,7 +390,7 @@ def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str =
         cut = _as_text(_digest_kept(docs.sparkSession.table(table), spans))
         cuts = durable(cut.join(copied, "name", "left_anti").unionByName(copied), "cuts")
     finally:
-        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+        _drop(docs.sparkSession, table)
     named = tx.append_columns(docs.select(*[f"`{c}`" for c in own]), [T.StructField(name, T.LongType())], lambda: name_of, text)
     joined = named.join(cuts.withColumnsRenamed({"name": cut_name, "cut": cut_text}), F.col(name) == F.col(cut_name), "left")
     body = F.col(f"`{text}`")

@@ -177,6 +177,21 @@ def test_repeats_equal_brute_force(spark):
     assert got == want
 
 
+def test_repeats_leave_no_table_and_no_bodies(spark):
+    """Texts in between lie in shared storage, not in the warehouse, and go when the result is made."""
+    from pathlib import Path
+
+    from loomstead.llm.storage import shared_dir
+
+    body = "".join(random.Random(8).choice("abcdefgh ") for _ in range(900))
+    docs = spark.createDataFrame([(1, body), (2, "head " + body), (3, None)], "doc_id long, text string")
+    rows = suffix.digest_removed(docs).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in rows) == [(1, 900), (2, 900), (3, 0)]
+    assert not [t for t in spark.catalog.listTables() if "repeats" in t.name]
+    assert not list(Path(shared_dir(spark).removeprefix("file://"), "loomstead").glob("bodies-*"))
+    assert not list(Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")).glob("loomstead_repeats*"))
+
+
 def test_sampled_positions_follow_content():
     rng = np.random.default_rng(4)
     spec = suffix.RepeatSpec()

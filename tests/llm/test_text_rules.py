@@ -105,6 +105,26 @@ def test_thousands_of_strata(spark):
         assert r.kept == (not any(own[rule] > c for rule, c in limit.items())) and r["of"] == r["__of"] == "x"
 
 
+def test_figures_of_the_readme_and_verdicts_on_a_table(spark):
+    """Cutoffs and rejections at sf0.01 as the README states them; ``kept`` recomputed from the metrics and cutoffs."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    judged, cutoffs = risk_rules.judge(docs, labels)
+    rows, limits = judged.collect(), {}
+    for c in cutoffs.collect():
+        limits.setdefault(c.stratum, {})[c.rule] = c.cutoff
+        assert c.bound <= 0.02 and c.n_good == 219
+    assert {k: len(v) for k, v in limits.items()} == {"en": 5}
+    by_rules = 0
+    for r in rows:
+        own = {"symbols": r.n_symbols / max(r.word_chars, 1), "dup_lines": r.n_dup_lines / max(r.n_lines, 1), "repeats": r.n_repeat_words / max(r.n_words, 1), "capitals": r.n_upper / max(r.word_chars, 1), "long_words": r.word_chars / max(r.n_words, 1)}
+        fails = any(own[rule] > c for rule, c in limits.get(r.stratum, {}).items())
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        assert r.kept == (not r.base_failed and not fails)
+        by_rules += fails and not r.base_failed
+    assert by_rules == 32
+
+
 def test_all_rules_together_keep_the_risk():
     """Over many samples, cutoffs whose true risk is too high are chosen as rarely as promised."""
     rng = np.random.default_rng(3)
