@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +26,13 @@ from loomstead.operators.running import number_rows
 BUCKETS = 10_000
 #: Texts longer than this many bytes go to DuckDB in blocks.
 BLOCK_BYTES = 1 << 18
-#: Memory of a task's DuckDB; a block takes far less.
+#: Bytes of text that one query of a task's DuckDB counts, or one block.
+QUERY_BYTES = 1 << 20
+#: Memory of a task's DuckDB; a query takes far less.
 MEMORY = "400MB"
 #: Spark draws with the shares of this many hash values.
 _RANGE = 1 << 32
+_KINDS = {"n_words": pa.int64(), "n_features": pa.int64(), "counts": pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int32())]))}
 
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -53,8 +57,12 @@ _SQL = """
     ), bucketed AS (
         SELECT text_no, bucket, sum(n) AS n, sum(n) FILTER (single) AS words FROM counted JOIN hashed USING (feature) GROUP BY ALL
     )
-    SELECT text_no, sum(words)::BIGINT AS n_words, sum(n)::BIGINT AS n_features, list(struct_pack(bucket := bucket::INTEGER, n := n::INTEGER)) AS counts
-    FROM bucketed GROUP BY text_no
+    SELECT text_no, bucket::INTEGER AS bucket, n::BIGINT AS n, words::BIGINT AS words FROM bucketed
+"""
+#: The counts of all parts of a slice, as one list a text.
+_LISTS = """
+    SELECT text_no, sum(words)::BIGINT AS n_words, sum(n)::BIGINT AS n_features, list(struct_pack(bucket := bucket, n := n::INTEGER)) AS counts
+    FROM (SELECT text_no, bucket, sum(n) AS n, coalesce(sum(words), 0) AS words FROM parts GROUP BY ALL) GROUP BY text_no
 """
 
 
@@ -100,14 +108,24 @@ def _counter(buckets: int) -> Callable[[pa.Array], dict[str, pa.Array]]:
     con.create_function("crc", _crc, ["VARCHAR"], "UINTEGER", type="arrow")
     query = _SQL.format(buckets=buckets)
 
+    def over(view: str, table: pa.Table, sql: str) -> pa.Table:
+        con.register(view, table)
+        found = con.sql(sql).to_arrow_table()
+        con.unregister(view)
+        return found
+
     def count(texts: pa.Array) -> dict[str, pa.Array]:
-        con.register("blocks", blocks(texts))
-        found = con.sql(query).to_arrow_table()
-        con.unregister("blocks")
+        cut = blocks(texts)
+        sizes = pc.fill_null(pc.binary_length(cut["body"]), 0).to_numpy()
+        edges = np.flatnonzero(np.diff(np.cumsum(sizes) // QUERY_BYTES, prepend=-1)).tolist()  # a long text's blocks are counted a few at a time
+        parts = [over("blocks", cut.slice(a, b - a), query) for a, b in zip(edges, [*edges[1:], cut.num_rows], strict=True)]
+        found = over("parts", pa.concat_tables(parts), _LISTS) if parts else pa.table({"text_no": pa.array([], pa.int64())})
+        if not found.num_rows:
+            return {name: pa.nulls(len(texts), kind) for name, kind in _KINDS.items()}
         at = np.full(len(texts), -1)
         at[found["text_no"].to_numpy()] = np.arange(found.num_rows)
         take = pa.array(np.where(at < 0, 0, at), mask=at < 0)
-        return {name: found[name].combine_chunks().take(take) for name in ("n_words", "n_features", "counts")}
+        return {name: found[name].combine_chunks().take(take).cast(kind) for name, kind in _KINDS.items()}
 
     return count
 

@@ -91,3 +91,16 @@ def test_a_long_text_counts_whole():
     n, buckets = features(text)
     assert rows[1]["n_words"] == n and {c["bucket"]: c["n"] for c in rows[1]["counts"]} == Counter(buckets)
     assert rows[0]["n_features"] == 3 and rows[2]["n_words"] is None
+
+
+def test_texts_counted_a_few_blocks_at_a_time(monkeypatch):
+    monkeypatch.setattr(target_resampling, "QUERY_BYTES", 50)
+    monkeypatch.setattr(target_resampling, "blocks", lambda texts, cut=target_resampling.blocks: cut(texts, 20))
+    texts = [None, "", "Ab-c,d  é 日本語 x " * 30, ";;;" * 40, "same words " * 50, "w" * 300, "one"]
+    count = target_resampling._counter(10_000)
+    rows = pa.table(count(pa.array(texts))).to_pylist()
+    for text, r in zip(texts, rows, strict=True):
+        n, buckets = features(text)
+        assert (r["n_words"] or 0, r["n_features"] or 0) == (n, len(buckets))
+        assert {c["bucket"]: c["n"] for c in r["counts"] or []} == Counter(buckets)
+    assert pa.table(count(pa.array([None, "", "; ;"]))).to_pylist() == [{"n_words": None, "n_features": None, "counts": None}] * 3
