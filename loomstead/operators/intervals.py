@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomstead.storage import durable
+
 #: Rows of one side that share a bin before the bin is split.
 HEAVY = 50_000
 
@@ -72,12 +74,14 @@ def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     has to be made distinct. Bins with more than ``heavy`` of the shorter rows are split: those are
     dealt by content, and the longer ones go to each split. All joins are by equal keys.
 
+    Both tables are written to shared storage once, as each is read several times.
+
     Rows with a null key or end, or that end no later than they start, overlap nothing. Repeated rows
     pair each for itself. Right columns get ``prefix``.
     """
     if width < 1:
         raise ValueError("a bin has a width of 1 or more")
-    mine, other = _dealt(left, left_span, by, width, "left"), _dealt(right, right_span, by, width, "right")
+    mine, other = (durable(_dealt(*x), "intervals") for x in ((left, left_span, by, width, "left"), (right, right_span, by, width, "right")))
     keys = [f"by{i}" for i in range(len(by))]
     pairs = _half(mine, other, "right", _levels(mine), False, keys, heavy).unionByName(_half(other, mine, "left", _levels(other), True, keys, heavy))
     return pairs.select("left.*", *[F.col("right").getField(c).alias(f"{prefix}{c}") for c in right.columns])

@@ -38,7 +38,8 @@ def exact_quantiles(df: DataFrame, by: tuple[str, ...], value: str, fractions: t
     A round counts, by group and quantile, the values of each range between the bounds that the round before left,
     added up before the shuffle, and keeps the range in which the place lies, with the least and largest of its values as bounds.
     It ends where those are equal, or where so few values are left that a window may sort them. However many rows
-    or copies of one value a group has, the shuffle gets a few hundred numbers a group, quantile and task.
+    or copies of one value a group has, the shuffle gets a few hundred numbers a group, quantile and task. ``df`` is read
+    once a round, two columns of it: write it first where it is dear to make.
     """
     if kind not in ("cont", "disc") or not fractions or not all(0 <= f <= 1 for f in fractions):
         raise ValueError("kind is cont or disc, and fractions are from 0 to 1")
