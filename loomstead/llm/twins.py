@@ -131,7 +131,47 @@ def hilbert_sharding(shards: int = 40, bits: int = 6) -> str:
     """
 
 
+#: What links reach: of each node the least one, itself included.
+_REACHED = """
+        reach AS (SELECT a AS node, a AS root FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+        least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+"""
+
+
+def lattice_dedup(threshold: float = 0.93) -> str:
+    """All pairs of one label."""
+    return f"""
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+        ), vectors AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM usable WHERE list_dot_product(e, e) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) >= {threshold} * a.norm * b.norm),
+        {_REACHED}, degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(coalesce(root, vec_id), vec_id) AS component_id, least(coalesce(root, vec_id), vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN least ON node = vec_id LEFT JOIN degrees ON a = vec_id
+    """
+
+
+def ngram_jaccard_join(width: int = 5, percent: int = 75) -> str:
+    """Whole sets, one of each distinct one, joined on every shingle they share."""
+    return rf"""
+        WITH RECURSIVE cut AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN coalesce(len(words), 0) = 0 THEN [] WHEN len(words) < {width} THEN [array_to_string(words, ' ')]
+                ELSE list_sort(list_distinct(list_transform(range(1, len(words) - {width - 2}), lambda i: array_to_string(words[i : i + {width - 1}], ' ')))) END AS shingles
+            FROM cut
+        ), named AS (SELECT doc_id, len(shingles) AS n, shingles, CASE WHEN len(shingles) > 0 THEN min(doc_id) OVER (PARTITION BY md5(array_to_string(shingles, chr(10)))) ELSE doc_id END AS own FROM sets),
+        singles AS (SELECT doc_id AS own, n, unnest(shingles) AS shingle FROM named WHERE doc_id = own),
+        common AS (SELECT a.own AS a, b.own AS b, a.n AS na, b.n AS nb, count(*) AS c FROM singles a JOIN singles b USING (shingle) WHERE a.own <> b.own GROUP BY ALL),
+        links AS (SELECT a, b FROM common WHERE 100 * c >= {percent} * (na + nb - c)), {_REACHED}
+        SELECT doc_id, n AS n_shingles, least(coalesce(root, own), own) AS component_id FROM named LEFT JOIN least ON node = own
+    """
+
+
 SQL = {
+    "op3_lattice_dedup": lattice_dedup(),
+    "op10_ngram_jaccard_join": ngram_jaccard_join(),
     "op11_target_resampling": target_resampling(),
     "op12_conversation_repair": conversation_repair(),
     "op13_hilbert_sharding": hilbert_sharding(),
