@@ -43,8 +43,10 @@ def exact_quantiles(df: DataFrame, by: tuple[str, ...], value: str, fractions: t
     """
     if kind not in ("cont", "disc") or not fractions or not all(0 <= f <= 1 for f in fractions):
         raise ValueError("kind is cont or disc, and fractions are from 0 to 1")
-    keys = [f"k{i}" for i in range(len(by))]
-    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], F.col(f"`{value}`").alias("v")).where("v is not null")
+    keys = [f"k{i}" for i in range(max(len(by), 1))]
+    held = F.col(f"`{value}`")
+    one = F.pmod(F.xxhash64(held), F.lit(1))  # without keys all rows are one group, by a key that stays a key in the plan
+    rows = df.select(*[e.alias(k) for e, k in zip([F.col(f"`{c}`") for c in by] or [one], keys, strict=True)], held.alias("v")).where("v is not null")
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
     finite = F.abs(F.col("v").cast("double")) < F.lit(float("inf"))
     ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.when(finite, F.col("v"))).alias("low"), F.max(F.when(finite, F.col("v"))).alias("high"), F.min("v").alias("least"))
@@ -62,7 +64,7 @@ def exact_quantiles(df: DataFrame, by: tuple[str, ...], value: str, fractions: t
     while True:
         a, b = rows.alias("a"), open_.alias("b")
         inside = F.col("b.first") | F.col("a.v").between(F.col("b.low"), F.col("b.high"))
-        placed = a.join(b, [*same("a", "b"), inside] if keys else inside).select("b.*", "a.v")
+        placed = a.join(b, [*same("a", "b"), inside]).select("b.*", "a.v")
         task = [*keys, "q", "part"]
         counts = placed.withColumn("range", _range(F.col("v"), F.col("low"), F.col("high"))).groupBy(*task, "range", "n", "place", "share", "below").agg(F.count("*").alias("here"), F.min("v").alias("low"), F.max("v").alias("high"))
         through = F.col("below") + F.sum("here").over(Window.partitionBy(*task).orderBy("range"))
@@ -86,4 +88,4 @@ def exact_quantiles(df: DataFrame, by: tuple[str, ...], value: str, fractions: t
     low, high = F.col("v0").cast("double"), F.col("v1").cast("double")
     answer = F.col("v0") if kind == "disc" else F.when((F.col("share") == 0) | (low == high), low).otherwise(low + (high - low) * F.col("share"))
     fraction = F.element_at(F.array(*[F.lit(float(f)) for f in fractions]), F.col("q") + 1)
-    return both.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], fraction.alias("fraction"), "n", answer.alias("quantile"))
+    return both.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=False)], fraction.alias("fraction"), "n", answer.alias("quantile"))

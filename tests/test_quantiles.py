@@ -54,3 +54,17 @@ def test_other_types_two_keys_and_none(spark):
     assert quantiles.exact_quantiles(frame.select("a", F.lit(None).cast("int").alias("v")), ("a",), "v", (0.5,)).collect() == []
     with pytest.raises(ValueError):
         quantiles.exact_quantiles(frame, ("a",), "v", (1.5,))
+
+
+def test_plans_without_nested_loops(spark, monkeypatch):
+    """Without keys, too, rows meet their bounds by an equal join."""
+    plans = []
+    own = quantiles.durable
+
+    def seen(frame, name):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return own(frame, name)
+
+    monkeypatch.setattr(quantiles, "durable", seen)
+    quantiles.exact_quantiles(spark.range(100), (), "id", (0.5,)).collect()
+    assert len(plans) > 1 and not any("NestedLoop" in p or "Cartesian" in p for p in plans)
