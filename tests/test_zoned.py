@@ -80,3 +80,39 @@ def test_what_is_not_committed_does_not_exist(zoned_spark, tmp_path):
 def test_no_table(zoned_spark, tmp_path):
     with pytest.raises(Exception, match="no table at"):
         zoned_spark.read.format("zoned").load(str(tmp_path / "none")).count()
+
+
+def test_files_that_no_commit_names_are_cleared(zoned_spark, tmp_path):
+    path, frame = str(tmp_path / "t"), made(zoned_spark, 100)
+    put(frame, path)
+    put(frame.where("id < 50"), path, mode="overwrite")
+    zoned._Writer(path, frame.schema, False, 10).write(iter([pa.record_batch({"id": pa.array(range(25))})]))
+    held = len(os.listdir(f"{path}/data"))
+    assert zoned.clear(path) >= 4 and zoned.clear(path) == 0
+    assert 0 < len(os.listdir(f"{path}/data")) < held
+    assert zoned_spark.read.format("zoned").load(path).count() == 50
+    assert zoned.clear(str(tmp_path / "none")) == 0
+
+
+def test_streams_read_and_write_each_commit_once(zoned_spark, tmp_path):
+    source, sink, state = (str(tmp_path / x) for x in ("source", "sink", "state"))
+    frame = made(zoned_spark, 90)
+
+    def run():
+        stream = zoned_spark.readStream.format("zoned").option("splitrows", 10).load(source).select("id", "s")
+        query = stream.writeStream.format("zoned").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(r.id for r in zoned_spark.read.format("zoned").load(sink).collect())
+
+    put(frame.where("id < 30"), source)
+    put(frame.where("id >= 30 and id < 60"), source)
+    assert run() == list(range(60))
+    put(frame.where("id >= 60"), source)
+    assert run() == list(range(90)) == run()
+    writer = zoned._StreamWriter(sink, frame.select("id", "s").schema, 100, "stream")
+    again = writer.write(iter([pa.record_batch({"id": pa.array([1]), "s": pa.array(["x"])})]))
+    writer.commit([again], 0)  # a batch that was published already
+    assert zoned_spark.read.format("zoned").load(sink).count() == 90
+    put(frame, source, mode="overwrite")
+    with pytest.raises(Exception, match="replaced under the stream"):
+        run()
