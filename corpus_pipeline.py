@@ -14,11 +14,24 @@ END_ID = 50256
 CAPACITY = 1024
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of ``BATCH_BYTES``, for the rest of the session.
+
+    Spark's own 64 MB are held by executor and worker alike, in and out, for every task.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language can't be told: null or letterless texts, and posteriors under one half.
 
     The model learns from the documents' own texts and non-null languages. Long texts count whole; of an empty table nothing stays.
     """
+    _small_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
@@ -27,6 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without words stay. Whole texts are compared, long ones too; an empty table stays empty.
     """
+    _small_batches(spark)
     return ngramjoin.keep_one(docs)
 
 
@@ -35,6 +49,7 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Repeated rows lose what they share, in each; null texts and an empty table stay as they are.
     """
+    _small_batches(spark)
     return suffix.remove_repeats(docs)
 
 
@@ -43,6 +58,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts stay; with no secrets to learn from, as in an empty table, only the fixed patterns are masked.
     """
+    _small_batches(spark)
     model = secrets.fit(secrets.labelled_tokens(docs))
     return secrets.redact(docs, model)
 
@@ -54,6 +70,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     put together again. Repeated rows are packed one by one, a null or empty text is its end
     token alone, and of an empty table nothing is packed.
     """
+    _small_batches(spark)
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
     return packing.pack(packing.pieces(rows, BYTE_BPE, END_ID, CAPACITY, carry=("doc_id", "row_id"), with_ids=True), CAPACITY)
 
