@@ -28,14 +28,14 @@ def groups(rng):
     }
 
 
-@pytest.mark.parametrize("few", [1, 30, 10_000])
+@pytest.mark.parametrize("few", [1, 10_000])
 @pytest.mark.parametrize("kind", ["cont", "disc"])
 def test_doubles(spark, monkeypatch, few, kind):
     monkeypatch.setattr(quantiles, "FEW", few)
     monkeypatch.setattr(quantiles, "RANGES", 8)
     made = groups(random.Random(4))
     frame = spark.createDataFrame([(k, v, "x") for k, vs in made.items() for v in vs], "range string, v double, low string").repartition(3)
-    fractions = FRACTIONS if few == 30 else (0.5,)
+    fractions = FRACTIONS if few > 1 else (0.5,)
     got = {(r.range, r.fraction): (r.n, r.quantile) for r in quantiles.exact_quantiles(frame, ("range",), "v", fractions, kind).collect()}
     assert got.keys() == {(k, f) for k in made if k != "none" for f in fractions}
     for (k, f), (n, q) in got.items():
