@@ -23,6 +23,8 @@ from loomstead.llm import text as tx
 from loomstead.llm.bitmap import bitmap, in_bitmap
 from loomstead.llm.storage import discard, durable, new_path
 
+#: Text bytes whose grams a task names at a time; names of all levels take about a hundred bytes a byte.
+GRAM_BYTES = 1 << 18
 #: Bits of the bitmap of texts that still have candidates.
 FILTER_BITS = 26
 FACTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -115,7 +117,7 @@ def _survey(docs: DataFrame, spec: RepeatSpec, text: str) -> DataFrame:
     names = ["doc_id", "name", "n_bytes", "sha256", "pos", "one", "two"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, text):
+        for part in tx.slices(batches, text, GRAM_BYTES):
             name, digest = _digests(part, text)
             data, offsets = tx.utf8(part.column(text))
             n = part.num_rows
@@ -210,7 +212,7 @@ def _name_cells(bodies: DataFrame, cells: DataFrame, spec: RepeatSpec) -> DataFr
     level = min(4, ((spec.length - spec.reach) // 8).bit_length() - 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, "body"):
+        for part in tx.slices(batches, "body", GRAM_BYTES):
             data, offsets = tx.utf8(part.column("body").cast(pa.string()))
             lists = part.column("cells")
             flat = lists.flatten()
@@ -327,7 +329,7 @@ def _own_ranges(bodies: DataFrame, spec: RepeatSpec) -> DataFrame:
     names = ["name", "pos", "low", "high", "three", "four"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, "body"):
+        for part in tx.slices(batches, "body", GRAM_BYTES):
             data, offsets = tx.utf8(part.column("body").cast(pa.string()))
             levels = tx.gram_names(data, max(1, spec.level))
             row, where, low, high = sample(levels[1], offsets, spec)
