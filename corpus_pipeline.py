@@ -15,7 +15,7 @@ CAPACITY = 1024
 
 
 #: Bytes of an Arrow batch between Spark and its Python workers.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def _small_batches(spark: SparkSession) -> None:
