@@ -154,13 +154,16 @@ def order_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's two latest orders, by a lateral subquery."""
+    """Each customer's two latest orders, by a lateral subquery over orders numbered by a window.
+
+    An ORDER BY with LIMIT inside the subquery would become a sort before the shuffle by customer, which doesn't keep it.
+    """
     return spark.sql(
         """
+        WITH numbered AS (
+            SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey NULLS LAST) AS r FROM {orders})
         SELECT c_custkey, t.o_orderkey, t.o_totalprice
-        FROM {customer} c, LATERAL (
-            SELECT o_orderkey, o_totalprice FROM {orders} o WHERE o.o_custkey = c.c_custkey
-            ORDER BY o_orderdate DESC, o_orderkey LIMIT 2) t
+        FROM (SELECT DISTINCT c_custkey FROM {customer}) c, LATERAL (SELECT o_orderkey, o_totalprice FROM numbered WHERE o_custkey = c.c_custkey AND r <= 2) t
         """,
         customer=table(spark, sf_dir, "customer"),
         orders=table(spark, sf_dir, "orders"),
