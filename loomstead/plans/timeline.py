@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.operators.intervals import interval_join
+from loomstead.operators.overlaps import overlap_counts
 from loomstead.operators.running import running_sum
 from loomstead.session import table
 
@@ -23,8 +24,7 @@ def overlapping_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     found = events.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
     sessions = found.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    pairs = interval_join(sessions, sessions, ("start", "end"), ("start", "end"), width=3_600_000_000)
-    return pairs.where("user_id <> right_user_id").groupBy("user_id").agg(F.count("*").alias("overlaps"), F.count_distinct("right_user_id").alias("others"))
+    return overlap_counts(sessions, "user_id", ("start", "end"))
 
 
 def overlapping_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
