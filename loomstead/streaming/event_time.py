@@ -48,8 +48,10 @@ def unviewed_purchases(spark: SparkSession, sf_dir: str, files_a_batch: int = 10
 class Visits(StatefulProcessor):
     """A user's visits, told by an event-time timer once the user has been idle for ``idle`` seconds.
 
-    State: a map of the open visits by start (last event, number of events), and how many visits were closed.
-    Rows may come in any order within the watermark: they extend a visit, begin one, or join two.
+    State: one value of the open visits in order (starts, last events, numbers of events) and how many visits were closed.
+    A user has one timer, for the open visit that is over first. Each access to the state or a timer is a call from
+    Python to the JVM, so neither has a row for each visit. Rows may come in any order within the watermark: they
+    extend a visit, begin one, or join two.
     """
 
     def __init__(self, idle: int) -> None:
@@ -57,48 +59,55 @@ class Visits(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start long", "last long, n long")
-        self.closed = handle.getValueState("closed", "n long")
+        self.state = handle.getValueState("visits", "start array<long>, last array<long>, n array<long>, closed long")
 
     def _due(self, last: int) -> int:
         """The first millisecond at which a visit of that last event is over."""
         return -(-(last + self.idle) // 1000)
 
+    def _held(self) -> tuple[list[tuple[int, int, int]], int]:
+        """Open visits (start, last, n) and the number of closed ones."""
+        found = self.state.get()
+        return (list(zip(*found[:3], strict=True)), found[3]) if found is not None else ([], 0)
+
+    def _keep(self, visits: list[tuple[int, int, int]], closed: int) -> None:
+        columns = zip(*visits, strict=True) if visits else ([], [], [])
+        self.state.update((*map(list, columns), closed))
+
+    def _first_due(self, visits: list[tuple[int, int, int]]) -> int | None:
+        return min((self._due(last) for _, last, _ in visits), default=None)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = {start: (last, n) for (start,), (last, n) in self.open.iterator()}
-        spans = [(start, last, n) for start, (last, n) in before.items()]
+        before, closed = self._held()
+        spans = list(before)
         for batch in rows:
             spans += [(t, t, 1) for t in batch["at"].astype("int64").tolist()]
-        after: dict[int, tuple[int, int]] = {}
-        current = None
+        after: list[tuple[int, int, int]] = []
         for start, last, n in sorted(spans):
-            if current is not None and start - after[current][0] < self.idle:
-                after[current] = (max(last, after[current][0]), after[current][1] + n)
+            if after and start - after[-1][1] < self.idle:
+                after[-1] = (after[-1][0], max(last, after[-1][1]), after[-1][2] + n)
             else:
-                current = start
-                after[start] = (last, n)
-        for start in before.keys() - after.keys():
-            self.open.removeKey((start,))
-        for start, visit in after.items():
-            if before.get(start) != visit:
-                self.open.updateValue((start,), visit)
-        due, was = ({self._due(last) for last, _ in held.values()} for held in (after, before))
-        for moment in was - due:
-            self.handle.deleteTimer(moment)
-        for moment in due - was:
-            self.handle.registerTimer(moment)
+                after.append((start, last, n))
+        self._keep(after, closed)
+        due, was = self._first_due(after), self._first_due(before)
+        if due != was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if due is not None:
+                self.handle.registerTimer(due)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        moment = expiredTimerInfo.getExpiryTimeInMs()
-        over = sorted((start, last, n) for (start,), (last, n) in self.open.iterator() if self._due(last) <= moment)
-        nth = self.closed.get()[0] if self.closed.exists() else 0
-        for start, _, _ in over:
-            self.open.removeKey((start,))
-        self.closed.update((nth + len(over),))
+        moment = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        visits, closed = self._held()
+        over = [v for v in visits if self._due(v[1]) <= moment]
+        going = [v for v in visits if self._due(v[1]) > moment]
+        self._keep(going, closed + len(over))
+        if going:
+            self.handle.registerTimer(self._first_due(going))
         if over:
             starts, lasts, counts = zip(*over, strict=True)
-            yield pd.DataFrame({"user_id": [key[0]] * len(over), "nth": range(nth + 1, nth + 1 + len(over)), "start": starts, "last": lasts, "n": counts})
+            yield pd.DataFrame({"user_id": [key[0]] * len(over), "nth": range(closed + 1, closed + 1 + len(over)), "start": starts, "last": lasts, "n": counts})
 
     def close(self) -> None:
         pass
