@@ -13,8 +13,8 @@ from loomstead.llm.storage import durable
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 50256
 CAPACITY = 1024
-#: Bytes of a repeat that is cut: 51 words of four letters and a space. (The contract's 400, of ``op5``, leave most passages of 50 to 70 words.)
-PASSAGE = suffix.RepeatSpec(256)
+#: Repeats that are cut. (The contract's 400 bytes, of ``op5``, leave most passages of 50 to 70 words.)
+PASSAGE = suffix.PASSAGE
 
 #: Bytes of an Arrow batch between Spark and its Python workers.
 BATCH_BYTES = 1 << 20

@@ -56,8 +56,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Remove repeated passages; the facts of the removal, and the text that remains."""
-    return suffix.digest_removed(_documents(spark, sf_dir).select("doc_id", "text"))
+    """Remove strings of 400 bytes that repeat; the facts of the removal, the text that remains, and how much of the whole text is in repeated passages of over 50 words (256 bytes)."""
+    return suffix.digest_removed(_documents(spark, sf_dir).select("doc_id", "text"), passage=suffix.PASSAGE)
 
 
 def op6_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ GRAM_BYTES = 1 << 18
 #: Bits of the bitmap of texts that still have candidates.
 FILTER_BITS = 26
 FACTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+PASSAGE_FACTS = ("n_passage_bytes", "n_passages")
 _EDGE = np.uint64((1 << 64) - 1)
 
 
@@ -69,6 +70,10 @@ class RepeatSpec:
         return sizes[::-1]
 
 
+#: What counts as a passage of over 50 words: 51 words of four letters and a space.
+PASSAGE = RepeatSpec(256)
+
+
 def sample(grams: np.ndarray, offsets: np.ndarray, spec: RepeatSpec) -> tuple[np.ndarray, ...]:
     """Sampled positions: row, byte position in the slice, and the offsets they answer for.
 
@@ -199,16 +204,16 @@ def _drop(spark: SparkSession, table: str) -> None:
         spark.sql(f"DROP TABLE {table}")
 
 
-_CELLS = "name long, pos long, low int, size int, open boolean, from int, to int, own long, core long"
+_CELLS = "name long, pos long, low int, size int, length int, open boolean, from int, to int, own long, core long"
 
 
 def _name_cells(bodies: DataFrame, cells: DataFrame, spec: RepeatSpec) -> DataFrame:
-    """Name the strings of each cell: offsets ``low .. low + size - 1`` before a position.
+    """Name the strings of each cell: ``length`` bytes at offsets ``low .. low + size - 1`` before a position.
 
     ``own`` names the bytes that all the cell's strings cover together (null where they leave
-    the text), ``core`` the bytes that each of them covers.
+    the text), ``core`` the bytes that each of them covers; cells of two lengths share no name.
     """
-    state = cells.groupBy("name").agg(F.collect_list(F.struct("pos", "low", "size", "open", "from", "to")).alias("cells"))
+    state = cells.groupBy("name").agg(F.collect_list(F.struct("pos", "low", "size", "length", "open", "from", "to")).alias("cells"))
     level = min(4, ((spec.length - spec.reach) // 8).bit_length() - 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +222,11 @@ def _name_cells(bodies: DataFrame, cells: DataFrame, spec: RepeatSpec) -> DataFr
             lists = part.column("cells")
             flat = lists.flatten()
             row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
-            pos, low, size = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
+            pos, low, size, length = (flat.field(k).to_numpy().astype(np.int64) for k in range(4))
             names = tx.SpanNames(tx.gram_names(data, level)[level], level)
             here = pos + offsets[row]
-            start, end = here - low - size + 1, here - low + spec.length
-            core_start, core_end = here - low, here - low - size + 1 + spec.length
+            start, end = here - low - size + 1, here - low + length
+            core_start, core_end = here - low, here - low - size + 1 + length
             ok = (core_start >= offsets[row]) & (core_end <= offsets[row + 1])
             whole = (start >= offsets[row]) & (end <= offsets[row + 1])
             start, end = np.where(whole, start, here), np.where(whole, end, here)
@@ -230,8 +235,8 @@ def _name_cells(bodies: DataFrame, cells: DataFrame, spec: RepeatSpec) -> DataFr
             own = tx.joined(names(start, end), tag).view(np.int64)
             core = tx.joined(names(core_start, core_end), tag).view(np.int64)
             name = part.column("name").to_numpy()[row]
-            columns = [pa.array(name), pa.array(pos), pa.array(low.astype(np.int32)), pa.array(size.astype(np.int32)), *(flat.field(k) for k in (3, 4, 5)), pa.array(own, mask=~whole), pa.array(core)]
-            yield pa.RecordBatch.from_arrays(columns, ["name", "pos", "low", "size", "open", "from", "to", "own", "core"]).filter(pa.array(ok))
+            columns = [pa.array(name), *(flat.field(k) for k in range(7)), pa.array(own, mask=~whole), pa.array(core)]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "pos", "low", "size", "length", "open", "from", "to", "own", "core"]).filter(pa.array(ok))
         tx.give_back()
 
     return bodies.join(state, "name").select("name", "body", "cells").mapInArrow(run, _CELLS)
@@ -259,11 +264,13 @@ def _told_apart(named: DataFrame, by_core: bool) -> DataFrame:
     return found
 
 
-def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str = "text") -> tuple[DataFrame, DataFrame, str]:
-    """Find the strings of ``spec.length`` bytes that occur twice.
+def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str = "text", longer: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame, str]:
+    """Find the strings of ``spec.length`` bytes that occur twice, and those of the ``longer`` lengths.
 
-    Returns the documents (doc_id, name, n_bytes, sha256, copies), the spans (name, start, end)
-    of distinct texts, which may overlap, and the bucketed table of the texts that have any.
+    Returns the documents (doc_id, name, n_bytes, sha256, copies), the spans (name, length,
+    start, end) of distinct texts, which may overlap, and the bucketed table of the texts that
+    have any. A longer string is looked for at the position of its first ``spec.length`` bytes,
+    which occur twice if it does.
 
     Prefix doubling ranks the strings that begin at sampled positions. A round sorts the pairs
     of each position's rank and that of the position one rank's length further on, numbers
@@ -294,31 +301,31 @@ def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str =
         whole = copies.select("name", F.lit(True).alias("copied"))
         ranges = durable(cores.join(whole, "name", "left").select("name", "pos", "low", "high", F.col("copied").isNull().alias("open")), "ranges")
         discard(cores)
-        return rows.join(copies, "name", "left"), _extents(bodies, ranges, spec), table
+        return rows.join(copies, "name", "left"), _extents(bodies, ranges, spec, (spec.length, *longer)), table
     except BaseException:
         _drop(spark, table)
         raise
 
 
-def _extents(bodies: DataFrame, ranges: DataFrame, spec: RepeatSpec) -> DataFrame:
-    """Spans (name, start, end) of the repeated strings that the positions in ``ranges`` answer for."""
+def _extents(bodies: DataFrame, ranges: DataFrame, spec: RepeatSpec, lengths: tuple[int, ...]) -> DataFrame:
+    """Spans (name, length, start, end) of the repeated strings of each length that the positions in ``ranges`` answer for."""
     # the first range is a position's own offsets (those of one core may differ, so cores rule
     # nothing out there), the cells after it lie on a common grid
-    cells = ranges.select("name", "pos", "low", (F.col("high") - F.col("low") + 1).cast("int").alias("size"), "open", F.col("low").alias("from"), F.col("high").alias("to"))
+    cells = ranges.select("name", "pos", "low", (F.col("high") - F.col("low") + 1).cast("int").alias("size"), F.explode(F.array(*map(F.lit, lengths))).alias("length"), "open", F.col("low").alias("from"), F.col("high").alias("to"))
     found = last = None
     for turn, size in enumerate([*spec.steps, 0]):
         named = durable(_name_cells(bodies, cells, spec), "cells")
         state = _told_apart(named, turn > 0)
         discard(named)
         discard(ranges if last is None else last)
-        spans = durable(state.where("open and again").select("name", (F.col("pos") - F.col("low") - F.col("size") + 1).alias("start"), (F.col("pos") - F.col("low") + spec.length).alias("end")), "spans")
+        spans = durable(state.where("open and again").select("name", "length", (F.col("pos") - F.col("low") - F.col("size") + 1).alias("start"), (F.col("pos") - F.col("low") + F.col("length")).alias("end")), "spans")
         found = spans if found is None else found.unionByName(spans)
         if size:
             going = state.where("not again or first").withColumn("open", F.expr("open and not again"))
             begin = F.greatest("low", "from")
             end = F.least(F.col("low") + F.col("size") - 1, F.col("to"))
             steps = F.sequence((F.floor(begin / size) * size).cast("int"), end.cast("int"), F.lit(size))
-            cells = going.select("name", "pos", F.explode(steps).alias("low"), F.lit(size).alias("size"), "open", "from", "to")
+            cells = going.select("name", "pos", F.explode(steps).alias("low"), F.lit(size).alias("size"), "length", "open", "from", "to")
         last = state
     discard(last)
     return found
@@ -350,25 +357,37 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], end[np.append(first[1:], len(start)) - 1] if len(first) else end
 
 
-def _digest_kept(bodies: DataFrame, spans: DataFrame) -> DataFrame:
-    """(name, n_removed, n_spans, kept_sha256, kept) of each text that has spans."""
-    lists = spans.distinct().groupBy("name").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+_KEPT = "name long, n_removed long, n_spans long, n_passage_bytes long, n_passages long, kept_sha256 string"
+
+
+def _digest_kept(bodies: DataFrame, spans: DataFrame, spec: RepeatSpec, passage: RepeatSpec | None) -> DataFrame:
+    """(name, n_removed, n_spans, n_passage_bytes, n_passages, kept_sha256, kept) of each text that has spans; the last two are null where only passages are found."""
+    lists = spans.distinct().groupBy("name").agg(F.collect_list(F.struct("length", "start", "end")).alias("spans"))
+
+    def covered(spans: list[dict], length: int) -> tuple[np.ndarray, np.ndarray]:
+        own = [s for s in spans if s["length"] == length]
+        return merged(np.array([s["start"] for s in own], np.int64), np.array([s["end"] for s in own], np.int64))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             rows = []
             for name, body, spans in zip(part.column("name").to_pylist(), part.column("body").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                start, end = merged(np.array([s["start"] for s in spans]), np.array([s["end"] for s in spans]))
-                edges = [0, *np.stack([start, end], 1).ravel().tolist(), len(body)]
-                kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((name, int((end - start).sum()), len(start), hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["name", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return bodies.join(lists, "name").select("name", "body", "spans").mapInArrow(run, "name long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str = "text", facts: bool = False) -> DataFrame:
+                start, end = covered(spans, spec.length)
+                digest = kept = None
+                if len(start):
+                    edges = [0, *np.stack([start, end], 1).ravel().tolist(), len(body)]
+                    kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                    digest = hashlib.sha256(kept).hexdigest()
+                first, last = covered(spans, passage.length) if passage else (start, end)
+                rows.append((name, int((end - start).sum()), len(start), int((last - first).sum()), len(first), digest, kept))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            types = [*[pa.int64()] * 5, pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["name", "n_removed", "n_spans", *PASSAGE_FACTS, "kept_sha256", "kept"])
+
+    return bodies.join(lists, "name").select("name", "body", "spans").mapInArrow(run, f"{_KEPT}, kept binary")
+
+
+def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str = "text", facts: bool = False, passage: RepeatSpec | None = None) -> DataFrame:
     """Documents without their repeated strings; columns stay as they are.
 
     A byte goes if it is in a string of ``spec.length`` bytes that also starts anywhere else.
@@ -378,46 +397,66 @@ def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str =
     bytes a byte while its positions are ranked.
 
     With ``facts`` the long columns n_bytes, n_removed, n_spans and the string kept_sha256 (of
-    the bytes that remain, before parts of characters go) are added, or replaced.
+    the bytes that remain, before parts of characters go) are added, or replaced. With
+    ``passage``, a shorter length, the long columns n_passage_bytes and n_passages follow: the
+    bytes that strings of that length cover which occur twice, and their maximal runs. Only
+    those of ``spec.length`` are removed; both lengths are found over the same ranks.
     """
-    own = [c for c in docs.columns if not (facts and c in FACTS)]
+    if passage and not (facts and passage.length < spec.length):
+        raise ValueError("passages are facts, of a length below that of what is removed")
+    added = (*FACTS, *PASSAGE_FACTS) if passage else FACTS if facts else ()
+    own = [c for c in docs.columns if c not in added]
     name, cut_name, cut_text = tx.unused(docs, "name"), tx.unused(docs, "cut_name"), tx.unused(docs, "cut")
 
     def name_of(part: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array(_digests(part, text)[0])]
 
-    rows, spans, table = repeated_spans(docs.select(F.lit(0).cast("long").alias("doc_id"), text), spec, text)
+    rows, spans, table = repeated_spans(docs.select(F.lit(0).cast("long").alias("doc_id"), text), passage or spec, text, (spec.length,) if passage else ())
     try:
-        copied = rows.where("copies is not null").select("name", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("cut")).distinct()
-        cut = _as_text(_digest_kept(docs.sparkSession.table(table), spans))
-        cuts = durable(cut.join(copied, "name", "left_anti").unionByName(copied), "cuts")
+        gone = F.col("n_bytes") >= spec.length  # other whole copies are passages only
+        copied = rows.where("copies is not null").select(
+            "name",
+            F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"),
+            F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"),
+            F.col("n_bytes").alias("n_passage_bytes"),
+            F.lit(1).cast("long").alias("n_passages"),
+            F.when(gone, hashlib.sha256(b"").hexdigest()).alias("kept_sha256"),
+            F.when(gone, "").alias("cut"),
+        )
+        cut = _as_text(_digest_kept(docs.sparkSession.table(table), spans, spec, passage))
+        cuts = durable(cut.join(copied.distinct(), "name", "left_anti").unionByName(copied.distinct()), "cuts")
     finally:
         _drop(docs.sparkSession, table)
     named = tx.append_columns(docs.select(*[f"`{c}`" for c in own]), [T.StructField(name, T.LongType())], lambda: name_of, text)
     joined = named.join(cuts.withColumnsRenamed({"name": cut_name, "cut": cut_text}), F.col(name) == F.col(cut_name), "left")
     body = F.col(f"`{text}`")
     new = F.when(body.isNull(), F.lit(None)).otherwise(F.coalesce(cut_text, body)).alias(text)
+
+    def number(column: str) -> Column:
+        return F.coalesce(cuts[column], F.lit(0)).cast("long").alias(column)
+
     more = [
         F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("n_bytes"),
-        F.coalesce(cuts["n_removed"], F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(cuts["n_spans"], F.lit(0)).cast("long").alias("n_spans"),
+        number("n_removed"),
+        number("n_spans"),
         F.coalesce(cuts["kept_sha256"], F.sha2(F.coalesce(body, F.lit("")).cast("binary"), 256)).alias("kept_sha256"),
+        *([number(c) for c in PASSAGE_FACTS] if passage else []),
     ]
     return joined.select(*[new if c == text else named[f"`{c}`"] for c in own], *(more if facts else []))
 
 
-def digest_removed(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str = "text") -> DataFrame:
-    """What removing every repeated string leaves: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the remaining text.
+def digest_removed(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), text: str = "text", passage: RepeatSpec | None = None) -> DataFrame:
+    """What removing every repeated string leaves: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the remaining text, and with ``passage`` n_passage_bytes and n_passages.
 
     Null texts count as empty; rows repeated under one id are documents of their own.
     """
-    return remove_repeats(docs.select("doc_id", text), spec, text, facts=True).select("doc_id", *FACTS, text)
+    return remove_repeats(docs.select("doc_id", text), spec, text, True, passage).select("doc_id", *FACTS, text, *(PASSAGE_FACTS if passage else ()))
 
 
 def _as_text(cut: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            texts = [b.decode("utf-8", "ignore") for b in part.column("kept").to_pylist()]
+            texts = [None if b is None else b.decode("utf-8", "ignore") for b in part.column("kept").to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*part.schema.names[:-1], "cut"])
 
-    return cut.select("name", "n_removed", "n_spans", "kept_sha256", "kept").mapInArrow(run, "name long, n_removed long, n_spans long, kept_sha256 string, cut string")
+    return cut.mapInArrow(run, f"{_KEPT}, cut string")

@@ -71,6 +71,15 @@ def test_op5_digest(spark, texts):
     assert any(x[1] for x in want.values())
 
 
+def test_op5_tells_passages_of_over_fifty_words(spark, texts):
+    """The query finds repeats of 256 bytes besides those of 400 that its contract removes."""
+    bodies = [(t or "").encode() for t in texts.values()]
+    want = {i: (cut[1], short[1], short[2]) for i, cut, short in zip(texts, removed(bodies, 400), removed(bodies, 256), strict=True)}
+    got = {r.doc_id: (r.n_removed, r.n_passage_bytes, r.n_passages) for r in queries()["op5_suffix_dedup"](spark, SF).collect()}
+    assert got == want
+    assert any(b and not a for a, b, _ in want.values())
+
+
 def test_op6_ids_and_text(spark, texts):
     tokenizer = Tokenizer.from_file(WORD_BPE)
     for r in queries()["op6_speculative_bpe"](spark, SF).collect():

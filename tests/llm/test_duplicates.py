@@ -177,6 +177,25 @@ def test_repeats_equal_brute_force(spark):
     assert got == want
 
 
+def test_passages_shorter_than_what_is_removed_equal_brute_force(spark):
+    """Two lengths over one ranking: facts of 400-byte repeats, and how much repeats of 256 bytes cover."""
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(n))
+    shared = [words(54) for _ in range(12)]
+    assert all(256 <= len(p) < 400 for p in shared)
+    texts = [*passages(7), *(f"{words(20)} {shared[i % 12]} {words(30)}" for i in range(24)), *([words(52)[:300]] * 2), "d" * 255, "d" * 256, "ef" * 160, *[words(90) for _ in range(6)]]
+    bodies = [t.encode() for t in texts]
+    want = {i: (*cut, *short[1:3]) for i, (cut, short) in enumerate(zip(brute_removed(bodies, 400), brute_removed(bodies, 256), strict=True))}
+    frame = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id long, text string").repartition(5)
+    want[len(texts)] = (0, 0, 0, hashlib.sha256(b"").hexdigest(), 0, 0)
+    rows = suffix.digest_removed(frame, passage=suffix.PASSAGE).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_bytes, r.n_passages) for r in rows} == want
+    assert sum(not x[1] and x[4] >= 256 for x in want.values()) >= 24
+    assert {r.doc_id: r.text for r in rows if not want[r.doc_id][1]} == {i: t for i, t in [*enumerate(texts), (len(texts), None)] if not want[i][1]}
+    with pytest.raises(ValueError):
+        suffix.digest_removed(frame, passage=suffix.RepeatSpec(400))
+
+
 def test_repeats_leave_no_table_and_no_bodies(spark):
     """Texts in between lie in shared storage, not in the warehouse, and go when the result is made."""
     from pathlib import Path
