@@ -364,25 +364,33 @@ def _digest_kept(bodies: DataFrame, spans: DataFrame, spec: RepeatSpec, passage:
     """(name, n_removed, n_spans, n_passage_bytes, n_passages, kept_sha256, kept) of each text that has spans; the last two are null where only passages are found."""
     lists = spans.distinct().groupBy("name").agg(F.collect_list(F.struct("length", "start", "end")).alias("spans"))
 
-    def covered(spans: list[dict], length: int) -> tuple[np.ndarray, np.ndarray]:
-        own = [s for s in spans if s["length"] == length]
-        return merged(np.array([s["start"] for s in own], np.int64), np.array([s["end"] for s in own], np.int64))
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            rows = []
-            for name, body, spans in zip(part.column("name").to_pylist(), part.column("body").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                start, end = covered(spans, spec.length)
-                digest = kept = None
-                if len(start):
-                    edges = [0, *np.stack([start, end], 1).ravel().tolist(), len(body)]
-                    kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    digest = hashlib.sha256(kept).hexdigest()
-                first, last = covered(spans, passage.length) if passage else (start, end)
-                rows.append((name, int((end - start).sum()), len(start), int((last - first).sum()), len(first), digest, kept))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = [*[pa.int64()] * 5, pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["name", "n_removed", "n_spans", *PASSAGE_FACTS, "kept_sha256", "kept"])
+            n, found, bodies = part.num_rows, part.column("spans"), part.column("body")
+            flat = found.flatten()
+            row = np.repeat(np.arange(n), pc.list_value_length(found).to_numpy())
+            length, start, end = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
+            base = np.cumsum(np.append(0, pc.binary_length(bodies).to_numpy().astype(np.int64) + 1))  # a byte apart, so that no run is in two texts
+
+            def covered(size: int, length=length, start=start, end=end, at=base[row]) -> tuple[np.ndarray, np.ndarray]:
+                own = length == size
+                return merged(start[own] + at[own], end[own] + at[own])
+
+            def counts(first: np.ndarray, last: np.ndarray, base=base) -> tuple[np.ndarray, np.ndarray]:
+                total, until = np.append(0, np.cumsum(last - first)), np.searchsorted(first, base)
+                return np.diff(total[until]), np.diff(until)
+
+            first, last = covered(spec.length)
+            removed, spans = counts(first, last)
+            until, digests, kept = np.searchsorted(first, base), [None] * n, [None] * n
+            for i in np.flatnonzero(spans).tolist():
+                body, runs = bodies[i].as_py(), slice(until[i], until[i + 1])
+                edges = [0, *(np.stack([first[runs], last[runs]], 1).ravel() - base[i]).tolist(), len(body)]
+                kept[i] = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                digests[i] = hashlib.sha256(kept[i]).hexdigest()
+            passages = counts(*covered(passage.length)) if passage else (removed, spans)
+            numbers = [pa.array(x, pa.int64()) for x in (removed, spans, *passages)]
+            yield pa.RecordBatch.from_arrays([part.column("name"), *numbers, pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["name", "n_removed", "n_spans", *PASSAGE_FACTS, "kept_sha256", "kept"])
 
     return bodies.join(lists, "name").select("name", "body", "spans").mapInArrow(run, f"{_KEPT}, kept binary")
 
